@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from termloom.shipping import ship
 
@@ -32,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     table survives the loss of any executor."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +46,7 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the workers first."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
