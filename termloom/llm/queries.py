@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontamination, mixing, near_dedup, quality, sharding
+from termloom.llm import decontamination, line_dedup, mixing, near_dedup, quality, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_docs(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -37,8 +41,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+        with raw as (select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                            unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents),
+        keyed as (select doc_id, pos, line,
+                         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from raw),
+        refs as (select k, count(distinct doc_id) as n, max(doc_id) as last from keyed where length(k) >= 20 group by k),
+        marked as (select keyed.*, coalesce(n >= 3 and doc_id <> last, false) as lost from keyed left join refs using (k))
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (lost)::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256
+        from marked group by doc_id
+    """,
+}

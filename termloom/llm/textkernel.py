@@ -38,6 +38,7 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 _CODE_LOWER = _CODE[_LOWER]
+_CODE2_LOWER = mix(_CODE ^ U64(0x2545F4914F6CDD1D))[_LOWER]
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -115,9 +116,18 @@ def words(flat: Flat) -> Words:
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of each byte range, A-Z folded first if ``lower``."""
+    return _range_hashes(data, start, end, _CODE_LOWER if lower else _CODE)
+
+
+def range_hashes2(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each byte range, A-Z folded."""
+    return _range_hashes(data, start, end, _CODE2_LOWER)
+
+
+def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
     forward, back = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((_CODE_LOWER if lower else _CODE)[data] * forward[: len(data)], out=sums[1:])
+    np.cumsum(code[data] * forward[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
