@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontamination, line_dedup, mixing, near_dedup, quality, sharding
+from termloom.llm import decontamination, line_dedup, mixing, near_dedup, pii, quality, secrets, sharding, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.read_tokens(tokens.write_tokens(_docs(spark, sf_dir), tokenizer, end=2))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_docs(spark, sf_dir))
+
+
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(_docs(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_docs(spark, sf_dir))
 
@@ -40,7 +56,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_token_packing": op4_token_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
