@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontamination, line_dedup, mixing, near_dedup, pii, quality, secrets, sharding, tokens
+from termloom.llm import decontamination, licences, line_dedup, mixing, near_dedup, pii, quality, secrets, sharding, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_docs(spark, sf_dir))
+
+
 def op4_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -56,6 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_licence_scan": op3_licence_scan,
     "op4_token_packing": op4_token_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
