@@ -187,11 +187,11 @@ def _logits(model: Model, grams: np.ndarray, owner: np.ndarray, words: np.ndarra
     grams, owner = grams[near], owner[near]
     at = np.minimum(np.searchsorted(model.features, grams), len(model.features) - 1)
     known = model.features[at] == grams
-    at, owner = at[known], owner[known]
+    # a feature counts once in a line, however often it occurs
+    pairs = np.unique(owner[known] * len(model.features) + at[known])
+    owner, at = pairs // len(model.features), pairs % len(model.features)
     scale = (1 / np.sqrt(np.maximum(words, 4))).astype(np.float32)
     out = np.zeros((len(words), len(CLASSES)), np.float32)
-    order = np.argsort(owner, kind="stable")
-    at, owner = at[order], owner[order]
     for k in range(0, len(at), 200_000):
         a, o = at[k : k + 200_000], owner[k : k + 200_000]
         first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
@@ -283,7 +283,7 @@ def trained(seed: int = 7, turns: int = 120) -> Model:
     at = np.minimum(np.searchsorted(features, grams), len(features) - 1)
     known = features[at] == grams
     x = np.zeros((len(y), len(features)), np.float32)
-    np.add.at(x, (owner[known], at[known]), 1)
+    x[owner[known], at[known]] = 1
     x /= np.sqrt(np.maximum(n, 4))[:, None]
     xf, yf = x[fit], np.eye(len(CLASSES), dtype=np.float32)[y[fit]]
     weights, bias = np.zeros((len(features), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
