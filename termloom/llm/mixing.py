@@ -29,6 +29,8 @@ from termloom.llm.storage import arrow, stored
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 SEED = 20240607
+#: Patterns and sources whose facts are sent to all executors, some 100 bytes each.
+BROADCAST_ROWS = 200_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -151,7 +153,9 @@ def plan_mix(keys: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     spark = keys.sparkSession
     rows = [(r["members"], k, gives[k] // r["size"] if r["size"] else 0, gives[k] % r["size"] if r["size"] else 0) for k, r in enumerate(patterns)]
     coded = spark.createDataFrame(rows, "members array<string>, code long, whole long, part long")
-    coded = stored(keys.select("members", "k1", "k2", "size").join(coded, "members"))
+    # rows that came from the driver are few; beyond the bound a shuffled join, which AQE splits where it is skewed
+    small = F.broadcast if len(rows) + len(names) <= BROADCAST_ROWS else (lambda df: df)
+    coded = stored(keys.select("members", "k1", "k2", "size").join(small(coded), "members"))
     cuts = find_cuts(coded, ["code", "k1", "k2"], "size", {(k,): [(0, float(p))] for _, k, _, p in rows if p}, 0.0)
     # after the cut nearest to the routed words, one document makes up the difference
     edges = []
@@ -162,20 +166,22 @@ def plan_mix(keys: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         edges.append((names_, k, whole, none, *last, part - (0 if none else cut.below)))
     edge = spark.createDataFrame(edges, "members array<string>, code long, whole long, none boolean, c1 long, c2 long, owed long")
     inside = ~F.col("none") & (F.struct("k1", "k2") <= F.struct(F.col("c1").alias("k1"), F.col("c2").alias("k2")))
-    marked = coded.drop("members").join(edge.drop("members", "whole"), "code").withColumn("inside", inside)
+    marked = coded.drop("members").join(small(edge.drop("members", "whole")), "code").withColumn("inside", inside)
     # where words are owed: the first document after the cut gives them; where too many, the last before
     fits = F.when(F.col("owed") > 0, ~F.col("inside")).when(F.col("owed") < 0, F.col("inside")) & (F.col("size") >= F.abs("owed"))
     place = F.struct("k1", "k2")
     mender = marked.where(fits).groupBy("code").agg(F.min(F.when(F.col("owed") > 0, place)).alias("m1"), F.max(F.when(F.col("owed") < 0, place)).alias("m2"))
-    mender = mender.select("code", F.coalesce("m1", "m2").alias("mender"))
-    taken = F.col("size") * (F.col("whole") + F.col("inside").cast("long")) + F.when(F.coalesce(place == F.col("mender"), F.lit(False)), F.col("owed")).otherwise(F.lit(0))
+    # a row for each pattern, like the tables that come from the driver below
+    found = {r["code"]: r["m"] for r in mender.select("code", F.coalesce("m1", "m2").alias("m")).collect()}
+    last = [(*e, *(found.get(e[1]) or (None, None))) for e in edges]
+    edge = spark.createDataFrame(last, "members array<string>, code long, whole long, none boolean, c1 long, c2 long, owed long, m1 long, m2 long")
+    taken = F.col("size") * (F.col("whole") + F.col("inside").cast("long")) + F.when((F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), F.col("owed")).otherwise(F.lit(0))
     facts = spark.createDataFrame([(s is None, s or "", sizes[k], targets[k]) for k, s in enumerate(names)], "is_null boolean, s string, source_size long, target double")
     return (
-        keys.join(edge, "members")
+        keys.join(small(edge), "members")
         .withColumn("inside", inside)
-        .join(mender, "code", "left")
         .withColumn("taken", taken.cast("long"))
-        .join(facts, (F.col("source").isNull() == F.col("is_null")) & (F.coalesce("source", F.lit("")) == F.col("s")))
+        .join(small(facts), (F.col("source").isNull() == F.col("is_null")) & (F.coalesce("source", F.lit("")) == F.col("s")))
     )
 
 
