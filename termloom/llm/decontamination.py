@@ -16,6 +16,7 @@ rows are judged alike; repeated items are reported by their ids.  A null item_id
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,15 +152,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, pa.schema([("item_id", pa.int64()), ("text", pa.string())]))
 
 
-_cache: dict[int, Index] = {}
+_cache: dict[bytes, Index] = {}
 
 
 def _index(shared) -> Index:
-    """The block's index, built once a worker."""
-    key = id(shared)
+    """The block's index, built once a worker; known by its content, for a worker serves
+    many jobs."""
+    raw = shared.value
+    key = hashlib.blake2b(raw, digest_size=16).digest()
     if key not in _cache:
         _cache.clear()
-        _cache[key] = Index(pa.ipc.open_stream(shared.value).read_next_batch())
+        _cache[key] = Index(pa.ipc.open_stream(raw).read_next_batch())
     return _cache[key]
 
 
