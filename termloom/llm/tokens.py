@@ -314,7 +314,7 @@ def write_tokens(docs: DataFrame, path: str, end: int, folder: str | None = None
     rows = docs.select(id_.alias("doc_id"), *(v.alias(k) for k, v in words.items()), "text").withColumn("cell", cuts_below(cuts, list(words)).cast("int"))
     vocabulary = _vocabulary(path)
     encoded = arrow(rows.select("cell", "doc_id", "h", "text"), _encode(path, end), "cell int, doc_id long, h long, ids binary")
-    laid = encoded.repartition(cells, "cell").sortWithinPartitions("cell", F.col("doc_id").asc_nulls_first(), "h")
+    laid = encoded.repartitionById(cells, "cell").sortWithinPartitions("cell", F.col("doc_id").asc_nulls_first(), "h")
     files = stored(arrow(laid, _write(folder, bits_for(vocabulary), vocabulary > 1 << 16), "cell int, path string, n_docs long, n_ids long"))
     starts, at = [], 0
     for r in files.orderBy("cell").collect():  # a row for each file
