@@ -70,7 +70,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+        with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select r, unnest(range(1, len(w) - 3)) as pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from d where len(w) >= 5),
+        twice as (select r, pos from win qualify count(*) over (partition by r, g) > 1),
+        rep as (select r, count(distinct pos + k) as n_repeat_words from twice, range(0, 5) x(k) group by r),
+        lines as (select r, unnest(string_split(text, chr(10))) as line from d),
+        dup as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+        f as (select r, doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+                     coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines,
+                     length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_capitals, length(regexp_replace(text, '[^!?~^_=+{}\[\]\\/@`]', '', 'g'))::bigint as n_marks
+              from d left join rep using (r) left join dup using (r)),
+        m as (select *, n_symbols * 1000 // greatest(n_words, 1) as symbols, n_dup_lines * 1000 // greatest(n_lines, 1) as duplicate_lines, n_repeat_words * 1000 // greatest(n_words, 1) as repeats,
+                     n_capitals * 1000 // greatest(word_chars, 1) as capitals, n_marks * 1000 // greatest(n_words, 1) as marks, word_chars * 1000 // greatest(n_words, 1) as wide from f),
+        long as (unpivot (select lang, source, symbols, duplicate_lines, repeats, capitals, marks, wide from m where n_words > 0) on symbols, duplicate_lines, repeats, capitals, marks, wide into name ratio value v),
+        e as (select lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) as e from long),
+        top as (select lang, source, ratio, (((v >> e) + 1) << e) - 1 as t from e),
+        slack as (select * from (values ('symbols', 150), ('duplicate_lines', 300), ('repeats', 150), ('capitals', 150), ('marks', 200), ('wide', 3000)) s(ratio, slack)),
+        q as (select kind, lang, source, ratio, total, q50 + greatest(6 * (q75 - q50), slack) as lim from (
+                select 'own' as kind, lang, source, ratio, count(*) as total, quantile_disc(t, 0.5) as q50, quantile_disc(t, 0.75) as q75 from top group by lang, source, ratio
+                union all select 'lang', lang, null, ratio, count(*), quantile_disc(t, 0.5), quantile_disc(t, 0.75) from top group by lang, ratio
+                union all select 'all', null, null, ratio, count(*), quantile_disc(t, 0.5), quantile_disc(t, 0.75) from top group by ratio) join slack using (ratio)),
+        lim as (select o.lang, o.source, o.ratio, case when o.total >= 50 then o.lim when l.total >= 50 then l.lim else a.lim end as lim
+                from (from q where kind = 'own') o join (from q where kind = 'lang') l on l.lang is not distinct from o.lang and l.ratio = o.ratio join (from q where kind = 'all') a on a.ratio = o.ratio),
+        wide_lim as (select lang, source, max(lim) filter (ratio = 'symbols') as max_symbols, max(lim) filter (ratio = 'duplicate_lines') as max_duplicate_lines, max(lim) filter (ratio = 'repeats') as max_repeats,
+                            max(lim) filter (ratio = 'capitals') as max_capitals, max(lim) filter (ratio = 'marks') as max_marks, max(lim) filter (ratio = 'wide') as max_wide from lim group by lang, source)
+        select doc_id, m.lang, m.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+               not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(symbols > max_symbols or duplicate_lines > max_duplicate_lines or repeats > max_repeats or capitals > max_capitals or marks > max_marks or wide > max_wide, false) as kept,
+               max_symbols, max_duplicate_lines, max_repeats, max_capitals, max_marks, max_wide
+        from m left join wide_lim w on w.lang is not distinct from m.lang and w.source is not distinct from m.source
+    """,
+    "op5_minhash_near_dedup": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, unnest(case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as g from w),
+        n as (select w.doc_id, count(g) as n from w left join s on s.doc_id = w.doc_id group by 1),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+        ends as (select a, b from e union all select b, a from e),
+        reach as (select doc_id as id, doc_id as other from w union select r.id, e.b from reach r join ends e on e.a = r.other),
+        c as (select id as doc_id, min(other) as component_id from reach group by id)
+        select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join c using (doc_id)
+    """,
     "op8_line_dedup": """
         with raw as (select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
                             unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents),
