@@ -10,7 +10,7 @@ import tarfile
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ SILENT = frozenset(("fig", "fig-group", "sup", "table", "table-wrap", "xref"))
 BREAKS = frozenset(("p", "sec"))
 RECORD = "path string, pmid string, pmc string, year int, text string, title string, article_type string, article_category string, error string"
 
+_ARROW = pa.schema([(c, pa.int32() if t == "int" else pa.string()) for c, t in (f.split() for f in RECORD.split(", "))])
+
 
 def element_text(e: ET.Element) -> str:
     """Text of an element, its children and its tail; blanks folded, paragraphs apart."""
@@ -120,8 +122,6 @@ def _members(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def _parse(kind: str, clean_kind: str):
-    columns = [c.split()[0] for c in RECORD.split(", ")]
-
     def rows(path: str, raw: bytes) -> Iterator[dict]:
         clean = _cleaner(clean_kind)
         try:
@@ -139,10 +139,12 @@ def _parse(kind: str, clean_kind: str):
         except Exception as e:
             yield {"path": path, "error": repr(e)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [r for path, raw in zip(b["path"], b["content"]) for r in rows(path, bytes(raw))]
-            yield pd.DataFrame(found, columns=columns).astype({"year": "Int32"})
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content")):
+                found = list(rows(path, raw.as_py()))  # a file at a time
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, _ARROW)
 
     return run
 
@@ -155,7 +157,7 @@ def read_records(spark: SparkSession, path: str, kind: str = "basic", clean: str
     if kind not in ("basic", "abstract", "paper"):
         raise ValueError(f"unknown kind of text {kind}")
     ship(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_parse(kind, clean), RECORD)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse(kind, clean), RECORD)
 
 
 def read_plain(spark: SparkSession, path: str, clean: str = "hard") -> DataFrame:
