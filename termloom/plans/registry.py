@@ -1,7 +1,7 @@
 """Queries of the engine over the test tables, and their SQL.
 
-Every query reads its whole tables.  Those without SQL are iterative or sequential; tests
-hold them against brute force on small fixtures.
+Every query reads its whole tables.  Those without SQL are iterative or sequential; their
+operators are tested on small fixtures, but for the plot places, which have no test yet.
 """
 
 from __future__ import annotations
