@@ -114,6 +114,26 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
             assert got[i].spans == ""
 
 
+def test_contexts_find_what_has_another_shape(spark):
+    """Contexts of phones and emails reveal accounts, handles and names in their place."""
+    r = random.Random(7)
+    rows = [(k, f"{r.choice('abcdef')} you may always ring the owner on +1 ({r.randint(100, 999)}) 555-{k:04d} after lunch", "en", "a", 1) for k in range(40)]
+    rows += [(100 + k, f"the reply goes to user{k}x@mail{k}.example.com before noon", "en", "a", 1) for k in range(40)]
+    odd = [("ring the owner on {} after lunch", v) for v in ("004930 123 4567", "DE44 5001 0517 5407 3249 31")] + [("the reply goes to {} before noon", v) for v in ("@kalomi_77", "Ada Lovelace", "Zoë")]
+    rows += [(200 + k, "é " + t.format(v), "en", "a", 1) for k, (t, v) in enumerate(odd)]
+    rows += [(300 + k, f"the parcel went on {k} other way home", "en", "a", 1) for k in range(10)]
+    text = {i: t for i, t, *_ in rows}
+    for x in pii.scan_pii(table(spark, rows)).collect():
+        if x.doc_id < 200:
+            assert x.n_found == 0 and x.n_phone + x.n_email == 1
+        elif x.doc_id < 300:
+            v = odd[x.doc_id - 200][1]
+            a = text[x.doc_id].index(v)
+            assert x.spans == f"found:{a}:{a + len(v)}"
+        else:
+            assert x.spans == ""
+
+
 def test_licence_model_is_accurate_on_held_out_variants():
     m = licences.trained()
     assert m.accuracy > 0.97
