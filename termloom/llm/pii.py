@@ -8,7 +8,9 @@ patterns; those that ordinary words fill, so that known values are less than a f
 instances, are left aside.  Patterns and instances (by value) form a graph over the whole corpus, which
 Spark scores in turns: a pattern's confidence is the share of its distinct instances'
 scores, damped by how few they are; an instance's score is the best confidence of its
-patterns, and 1 for a seed.  Instances of confident patterns that are no seeds are reported
+patterns, and 1 for a seed.  Instances above the bar are promoted: in the next turn the texts
+are read for the contexts in which these stand (values of up to SPAN tokens), new patterns
+are induced from seeds and promoted instances alike, and so on.  Instances of confident patterns that are no seeds are reported
 as ``found``, spans that overlap as one.
 
 Patterns and values are 64-bit hashes.  The sets of them that tasks look up are broadcast,
@@ -37,7 +39,8 @@ KINDS = ("email", "ip", "card", "phone", "found")
 #: Turns of scoring, the confidence of a pattern that may report, and the distinct
 #: instances that damp it by half.
 TURNS, CONFIDENT, DAMP = 3, 0.8, 1.0
-#: Distinct seeds that a reporting pattern must hold itself.
+#: Distinct known instances that a reporting pattern must hold: seeds, and instances that
+#: earlier turns promoted.
 SEEDS = 4
 
 U64 = np.uint64
@@ -181,12 +184,17 @@ def patterns_of(t: Tokens, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return tuple(tk.mix((tk.mix(x * _STEP + tag)) * _STEP + y) for (x, y), tag in zip(pairs, _TAGS))
 
 
+def _onward(h: np.ndarray, token: np.ndarray, k: int) -> np.ndarray:
+    """The hash of a value with its token number k added."""
+    return tk.mix(h * _STEP + token + U64(k + 1))
+
+
 def values_of(t: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A hash of each span's tokens in lower case."""
     h = np.zeros(len(i), U64)
     for k in range(int((j - i).max(initial=0))):
         live = i + k < j
-        h = np.where(live, tk.mix(h * _STEP + t.value[np.where(live, i + k, 0)] + U64(k + 1)), h)
+        h = np.where(live, _onward(h, t.value[np.where(live, i + k, 0)], k), h)
     return h
 
 
@@ -294,6 +302,28 @@ def _seed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _edges(rows)
 
 
+def _contexts(values):
+    """The patterns that the values of a broadcast set stand in, wherever they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = members(values.value)
+        for b in batches:
+            rows = []
+            for flat in tk.chunks(b.column("text")):
+                t = tokens(flat)
+                spots = np.flatnonzero(t.real)
+                h = np.zeros(len(spots), U64)
+                for k in range(SPAN):
+                    inside = t.real[spots + k]
+                    spots, h = spots[inside], h[inside]
+                    h = _onward(h, t.value[spots + k], k)
+                    hit = held(m, h)
+                    rows += [(p, h[hit], np.zeros(len(hit), bool)) for p in patterns_of(t, spots[hit], spots[hit] + k + 1)]
+            yield _edges(rows)
+
+    return run
+
+
 def _instances(patterns, sampled: bool = False):
     """All distinct instances of the patterns of a broadcast set, or of a SAMPLE-th of all values."""
 
@@ -380,22 +410,25 @@ def _hopeful(known: np.ndarray, sample: np.ndarray) -> np.ndarray:
     return sample <= most + 6 * np.sqrt(most) + 6
 
 
-def score_patterns(edges: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(pattern, confidence, instances, seeds) from ``edges(pattern, value, seed)``.
+def _scored(edges: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """``edges`` with the score of each value: 1 for seeds, else what the last turn gave."""
+    if scores is None:
+        return edges.withColumn("score", F.col("seed").cast("double"))
+    score = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    return edges.join(scores, "value", "left").withColumn("score", score).drop("best")
 
-    ``edges`` has a row for each pattern and value.  Each turn is an aggregate by pattern
-    and one by value; both are combined map-side and AQE splits skewed joins, so neither a
-    pattern nor a value that holds a third of the edges meets in one task.
+
+def score_patterns(scored: DataFrame, confident: float, least: int) -> DataFrame:
+    """(pattern, confidence) from ``scored(pattern, value, seed, score)``, which has a row for
+    each pattern and value.
+
+    Known instances are seeds and those that an earlier turn scored ``confident``; a pattern
+    needs ``least`` of them, and SHARE of all its instances.  The aggregates by pattern and
+    by value are combined map-side and AQE splits skewed joins, so neither a pattern nor a
+    value that holds a third of the edges meets in one task.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for turn in range(turns):
-        patterns = scored.groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("instances"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        patterns = patterns.withColumn("confidence", F.col("s") / (F.col("instances") + F.lit(DAMP)))
-        if turn == turns - 1:
-            return patterns.select("pattern", "confidence", "instances", "seeds")
-        best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
-        scored = stored(edges.join(best, "value").withColumn("score", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("best"))).drop("best"))
-    raise ValueError("turns must be at least 1")
+    p = scored.groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.sum((F.col("score") >= confident).cast("long")).alias("known"))
+    return p.where((F.col("known") >= least) & (F.col("known") >= F.lit(SHARE) * F.col("n"))).select("pattern", (F.col("s") / (F.col("n") + F.lit(DAMP))).alias("confidence"))
 
 
 def scan_pii(docs: DataFrame, *, turns: int = TURNS, confident: float = CONFIDENT, min_seeds: int = SEEDS) -> DataFrame:
@@ -403,16 +436,38 @@ def scan_pii(docs: DataFrame, *, turns: int = TURNS, confident: float = CONFIDEN
 
     Spans are ``kind:start:end`` by kind (in the order of KINDS), then start.
     """
+    if turns < 1:
+        raise ValueError("turns must be at least 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     only, share = texts.select("text"), docs.sparkSession.sparkContext.broadcast
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
     seeds = stored(arrow(only, _seed_contexts, _EDGES).distinct())
-    patterns, known = _supported(seeds, min_seeds)
-    live = patterns[_hopeful(known, _sample_counts(only, patterns))]
-    found = arrow(only, _instances(share(live)), _EDGES)
-    # a value that is a seed anywhere is a seed
-    edges = stored(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    tried = edges.groupBy("pattern").agg(F.avg(F.col("seed").cast("double")).alias("share")).where(F.col("share") >= SHARE)
-    edges = edges.join(tried.select("pattern"), "pattern", "left_semi")
-    good = score_patterns(edges, turns).where((F.col("confidence") >= confident) & (F.col("seeds") >= min_seeds)).select("pattern")
-    return arrow(texts, _report(share(_hashes(good))), schema)
+    contexts, edges, scores, good = seeds, None, None, None
+    promoted, seen, read = (np.zeros(0, U64) for _ in range(3))
+    sample = np.zeros(0, np.int64)
+    for turn in range(turns):
+        if turn:
+            more = _hashes(scores.where(F.col("best") >= confident).select("value"))
+            if len(more) and not np.array_equal(more, promoted):
+                where = arrow(only, _contexts(share(more)), _EDGES).select("pattern", "value")
+                contexts = stored(seeds.select("pattern", "value").union(where).distinct())
+            promoted = more
+        patterns, known = _supported(contexts, min_seeds)
+        # only patterns that no earlier turn met are sampled, and only those not yet read are read
+        new = np.setdiff1d(patterns, seen)
+        sample = np.concatenate((sample, _sample_counts(only, new)))
+        seen = np.concatenate((seen, new))
+        order = np.argsort(seen)
+        seen, sample = seen[order], sample[order]
+        live = np.setdiff1d(patterns[_hopeful(known, sample[np.searchsorted(seen, patterns)])], read)
+        if len(live):
+            found = arrow(only, _instances(share(live)), _EDGES)
+            # a value that is a seed anywhere is a seed
+            found = stored(found.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+            edges, read = found if edges is None else edges.union(found), np.concatenate((read, live))
+        if edges is None:
+            break
+        good = stored(score_patterns(_scored(edges, scores), confident, min_seeds))
+        scores = stored(edges.join(good, "pattern").where("not seed").groupBy("value").agg(F.max("confidence").alias("best")))
+    keys = np.zeros(0, U64) if good is None else _hashes(good.where(F.col("confidence") >= confident).select("pattern"))
+    return arrow(texts, _report(share(keys)), schema)

@@ -134,6 +134,23 @@ def test_contexts_find_what_has_another_shape(spark):
             assert x.spans == ""
 
 
+def test_bootstrapping_takes_a_second_hop(spark):
+    """Accounts found beside phones reveal the accounts of a context that holds no seed."""
+    r = random.Random(8)
+    accounts = [f"KX-{r.randint(10**7, 10**8 - 1)}" for _ in range(20)]
+    rows = [(k, f"you may ring the owner on +1 ({r.randint(100, 999)}) 555-{k:04d} after lunch", "en", "a", 1) for k in range(90)]
+    rows += [(100 + k, f"you may ring the owner on {a} after lunch", "en", "a", 1) for k, a in enumerate(accounts)]
+    rows += [(200 + k, f"the money left account {a} again today", "en", "a", 1) for k, a in enumerate(accounts)]
+    rows += [(300, "the money left account QQ-7755 again today", "en", "a", 1), (301, "the money stayed in QQ-7755 for days", "en", "a", 1)]
+    got = {x.doc_id: x.spans for x in pii.scan_pii(table(spark, rows)).collect()}
+    for i, t, *_ in rows[90:-1]:
+        a, b = re.search("[A-Z]{2}-[0-9]+", t).span()
+        assert got[i] == f"found:{a}:{b}"
+    assert got[301] == ""
+    one = {x.doc_id: x.spans for x in pii.scan_pii(table(spark, rows), turns=1).collect()}
+    assert one[100] and not one[300]
+
+
 def test_licence_model_is_accurate_on_held_out_variants():
     m = licences.trained()
     assert m.accuracy > 0.97
