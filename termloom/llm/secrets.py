@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,15 +28,17 @@ KINDS = ("assign", "access", "hex", "novel")
 NOVEL = 0.7
 #: Code points of the surroundings on each side.
 AROUND = 160
-#: A token counts as in sensitive context so many code points after a cue.
+#: A token counts as in sensitive context so many code points before or after a cue.
 REACH = 32
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CUE = re.compile(r"(?ai:secret|token|passw|pwd|api.?key|private.?key|access.?key|auth|bearer|credential)")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]+")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# an = stands between name and value, but at the end of a run it is padding
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z0-9+/_-]++(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Signs of a token at least.
+LEAST = 16
 
 _IDENTIFIERS = """
 get set value name index count list item key data type user file path size length string number error result
@@ -95,17 +98,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible tokens near a cue that no base span touches."""
+    """Incompressible tokens on either side of a cue that no base span touches."""
     found: dict[int, int] = {}
+    tried: set[int] = set()
+    spots: list[tuple[int, int]] | None = None
     for cue in _CUE.finditer(text):
-        for near in _RUN.finditer(text, cue.end(), cue.end() + REACH):
-            m = _TOKEN.match(text, near.start())
-            if m and m.start() not in found and not any(a < m.end() and m.start() < b for a, _, b in base):
-                token = m[0]
-                if re.search("[0-9]", token) and re.search("[A-Za-z]", token) and named(token) < NAMED:
-                    before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-                    if novelty(token, before, after) >= NOVEL:
-                        found[m.start()] = m.end()
+        if spots is None:
+            spots = [m.span() for m in _TOKEN.finditer(text)]
+        lo, hi = cue.start() - REACH, cue.end() + REACH
+        for a, b in spots[bisect_right(spots, lo, key=lambda x: x[1]) : bisect_left(spots, hi, key=lambda x: x[0])]:
+            if a in tried:
+                continue
+            tried.add(a)
+            token = text[a:b]
+            if b - a >= LEAST and not any(x < b and a < y for x, _, y in base) and named(token) < NAMED:
+                before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+                if novelty(token, before, after) >= NOVEL:
+                    found[a] = b
     return [(a, 3, b) for a, b in found.items()]
 
 

@@ -90,6 +90,24 @@ def test_novelty_tells_random_strings_from_identifiers():
     assert secrets.novel_spans("a random name " + "".join(r.choices(signs, k=30)), []) == []
 
 
+def test_novel_values_beside_their_names():
+    """Values in NAME=value, before a cue, and of letters or digits alone."""
+    r = random.Random(9)
+    signs = string.ascii_letters + string.digits
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "PRIVATE_KEY={}", "pwd={}", "auth={}", "https://x.example/?a=1&access_key={}&b=2", "x=auth={}", "credential: {}==", "PWD ={}", "the value {} is the token", "é: {}\nis the bearer"]
+    hits = 0
+    for k in range(200):
+        t, form = "".join(r.choices(string.ascii_letters if k % 4 == 0 else signs, k=40)), forms[k % len(forms)]
+        text = form.format(t)
+        want = t + "==" if "{}==" in form else t
+        hits += [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text))] == [want]
+    assert hits >= 190
+    far = "".join(r.choices(signs, k=40))
+    assert secrets.novel_spans(f"{far} {'la ' * 20} is the token", []) == []
+    assert secrets.novel_spans("private_key=connection_string_for_database2", []) == []
+    assert len(secrets.novel_spans("auth" * 200_000 + f" {far}", [])) == 1
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     """Contexts of valid cards reveal ill-formed ones; other contexts reveal nothing."""
     r = random.Random(2)
