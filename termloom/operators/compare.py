@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.shipping import ship
+
 
 def mirrored(term_sim: DataFrame) -> DataFrame:
     """Both directions of a table with a <= b."""
@@ -102,24 +106,36 @@ def term_matches(reference: DataFrame, candidates: DataFrame, lin: DataFrame) ->
     """(candidate, ref_term, cand_term, sim): greedy one-to-one matching by lin.
 
     Of each candidate's pairs, best first, those are taken whose two ends are still free.
-    The pairs of one candidate and one reference profile are folded in order.
+    A candidate's pairs are sorted once and each is looked at once.
     """
     sims = mirrored(lin)
     pairs = (
-        reference.select(F.col("pos").alias("ref_pos"), F.col("term_id").alias("a"))
-        .crossJoin(candidates.select(F.col("profile_id").alias("candidate"), F.col("pos").alias("cand_pos"), F.col("term_id").alias("b")))
+        reference.select(F.col("pos").cast("int").alias("ref_pos"), F.col("term_id").alias("a"))
+        .crossJoin(candidates.select(F.col("profile_id").alias("candidate"), F.col("pos").cast("int").alias("cand_pos"), F.col("term_id").alias("b")))
         .join(sims, ["a", "b"], "left")
-        .select("candidate", F.struct((-F.coalesce("sim", F.lit(0.0))).alias("key"), "ref_pos", "cand_pos", F.col("a").alias("ref_term"), F.col("b").alias("cand_term")).alias("p"))
+        .select("candidate", (-F.coalesce("sim", F.lit(0.0))).alias("key"), "ref_pos", "cand_pos", F.col("a").alias("ref_term"), F.col("b").alias("cand_term"))
     )
-    kind = "array<struct<key:double,ref_pos:int,cand_pos:int,ref_term:string,cand_term:string>>"
-
-    def take(done: Column, p: Column) -> Column:
-        free = ~F.exists(done, lambda d: (d["ref_term"] == p["ref_term"]) | (d["cand_term"] == p["cand_term"]))
-        return F.when(free, F.concat(done, F.array(p)).cast(kind)).otherwise(done)
-
-    folded = pairs.groupBy("candidate").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    taken = folded.select("candidate", F.explode(F.aggregate(F.col("ps").cast(kind), F.array().cast(kind), take)).alias("m"))
-    return taken.select("candidate", "m.ref_term", "m.cand_term", (-F.col("m.key") + F.lit(0.0)).alias("sim"))
+    ship(reference.sparkSession)
+    return pairs.groupBy("candidate").applyInArrow(_greedy, "candidate string, ref_term string, cand_term string, sim double")
+
+
+def _greedy(pairs: pa.Table) -> pa.Table:
+    """The matches of one candidate."""
+    # codes in the order of the terms, so that they sort as the terms do
+    names, codes = zip(*(np.unique(pairs.column(k).to_numpy(zero_copy_only=False), return_inverse=True) for k in ("ref_term", "cand_term")))
+    key, i, j = (pairs.column(k).to_numpy() for k in ("key", "ref_pos", "cand_pos"))
+    order = np.lexsort((codes[1], codes[0], j, i, key))
+    free = [[True] * len(x) for x in names]
+    taken, most = [], min(map(len, names))
+    for k, x, y in zip(order.tolist(), codes[0][order].tolist(), codes[1][order].tolist()):
+        if free[0][x] and free[1][y]:
+            free[0][x] = free[1][y] = False
+            taken.append(k)
+            if len(taken) == most:
+                break
+    out = pairs.take(pa.array(taken, pa.int64()))
+    sim = pa.array(0.0 - out.column("key").to_numpy(), pa.float64())
+    return pa.table([out.column("candidate"), out.column("ref_term"), out.column("cand_term"), sim], ["candidate", "ref_term", "cand_term", "sim"])
 
 
 def term_matrix(matches: DataFrame, ranked: DataFrame, term_limit: int = 100) -> DataFrame:

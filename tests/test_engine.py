@@ -341,3 +341,34 @@ def test_lookups(spark, enrichment):
     assert {r.level: len(r.terms) for r in enrichment.level_terms().collect()} == {1: 1, 2: 2, 3: 2}
     below = {r.term_id: [x.term_id for x in r.below] for r in enrichment.children_table(ids(spark, "branchA")).collect()}
     assert below == {"branchA": ["branchAChild1", "branchAChild2"]}
+
+
+def test_supplier_profiles_hold_every_class(spark):
+    """The clustered and matched profiles are whole: each (nation, class) that is sold."""
+    from termloom.plans import registry
+    from termloom.plans.catalog import Catalog
+
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    brand = {r["p_partkey"]: r["c"] for r in c.named.select("p_partkey", "c").collect()}
+    nation = dict(c.table("supplier").select("s_suppkey", "s_nationkey").collect())
+    sold = {(f"S:{nation[s]}", brand[p]) for s, p in c.table("lineitem").select("l_suppkey", "l_partkey").collect()}
+    got = [(r.profile_id, r.term_id) for r in registry._brand_profiles(c).collect()]
+    assert len(got) == len(set(got)) and set(got) == sold
+
+
+def test_greedy_matches_of_large_profiles(spark):
+    """Every pair of two profiles of 400 terms is looked at, in order."""
+    import random
+
+    r = random.Random(4)
+    sims = [(min(a, b), max(a, b), r.randint(0, 20) / 20) for a in (f"a{k:03d}" for k in range(400)) for b in (f"b{k:03d}" for k in range(400))]
+    ref = spark.createDataFrame([("r", k, f"a{k:03d}") for k in range(400)], "profile_id string, pos int, term_id string")
+    cand = spark.createDataFrame([("c", k, f"b{k:03d}") for k in range(400)], "profile_id string, pos int, term_id string")
+    got = {(x.ref_term, x.cand_term, x.sim) for x in compare.term_matches(ref, cand, spark.createDataFrame(sims, "a string, b string, sim double")).collect()}
+    left, right, want = set(), set(), set()
+    for a, b, s in sorted(sims, key=lambda x: (-x[2], x[0], x[1])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.add((a, b, s))
+    assert got == want
