@@ -4,10 +4,18 @@ Each document gets whole-text counts; ratios of these go into mergeable quantile
 sketches, one for each language, source and ratio.  A sketch is a log-linear histogram:
 whole numbers below 64 have a bucket each, larger ones share a bucket with at most 1/32
 relative width.  Merging adds counts, so the result depends neither on the order nor on
-the partitioning, and a sketch has at most some 2,000 buckets whatever the rows.  The
-threshold of a ratio is its median plus a multiple of the upper quartile distance, at
-least a slack; groups too small to have quartiles of their own use their language's
-merged sketch, or that of the whole table.  Documents are then joined with their group's
+the partitioning, and a sketch has at most some 2,000 buckets whatever the rows.
+
+A threshold climbs its group's sketch: the spread starts as the distance from the median
+down to the lower quartile, which junk cannot reach, and takes in the 75th, 90th, 95th, 98th and
+99th percentile in turn, as long as each is at most JUMP times as far from the median as what came
+before; the first jump is where another population begins, and there the climb ends.  The
+threshold is the median plus REACH times the spread and one event (what a single
+occurrence adds in a text of the group's median length).  So a group whose upper third
+is junk has the threshold of its clean part.  Every sketch is filled up with PRIOR
+pseudo-documents at the quantiles of its language's sketch, and that one with those of the
+whole table: small groups lean on them, large ones do not feel them, and no size
+switches anything.  Documents are then joined with their group's
 thresholds and the ones beyond any are rejected.
 
 Nulls and empties: a null text has no words and is rejected by the base rule like any
@@ -30,12 +38,24 @@ from termloom.llm import textkernel as tk
 from termloom.llm.storage import arrow, stored
 
 WINDOW = 5
-#: Ratio -> (least distance of the threshold from the median, side).  Ratios are per mille.
-SLACK = {"symbols": 150, "duplicate_lines": 300, "repeats": 150, "capitals": 150, "marks": 200, "wide": 3000}
-#: The threshold lies this many quartile distances above the median.
-REACH = 6
-#: A group needs so many documents for thresholds of its own.
-LEAST = 50
+#: Ratio -> (count, what it is a share of, the count that one occurrence adds).  Ratios are per
+#: mille.  A repeat covers two windows, a capitalised word some five letters.
+RATIOS = {
+    "symbols": ("n_symbols", "n_words", 1),
+    "duplicate_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 2 * WINDOW),
+    "stutter": ("n_stutter", "n_words", 1),
+    "capitals": ("n_capitals", "word_chars", 5),
+    "marks": ("n_marks", "n_words", 1),
+    "wide": ("word_chars", "n_words", 5),
+}
+#: A percentile further from the median than JUMP spreads and an event is of another population.
+JUMP = 4
+#: The threshold lies this many spreads and events above the median.
+REACH = 4
+#: Pseudo-documents that a sketch takes from the one above it.
+PRIOR = 20
+CLIMB = (75, 90, 95, 98, 99)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -44,7 +64,7 @@ _CAPITAL[65:91] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!?~^_=+{}[]\\/@`")] = True
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutter", "n_lines", "n_capitals", "n_marks")
 SCHEMA = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
@@ -84,6 +104,10 @@ def text_counts(flat: tk.Flat) -> dict[str, np.ndarray]:
 
     out["n_repeat_words"] = np.zeros(flat.n, np.int64)
     hashes = tk.word_hashes(flat, w, lower=False)
+    same = np.zeros(len(hashes) + 1, np.int64)
+    same[2:] = np.cumsum(hashes[1:] == hashes[:-1])
+    # a document's first word has no word before it
+    out["n_stutter"] = same[w.at[1:]] - same[np.minimum(w.at[:-1] + 1, w.at[1:])]
     windows, to = tk.shingles(hashes, w.at, WINDOW)
     _, single = tk.distinct_sorted(windows, to)
     for d in np.flatnonzero((np.diff(to) > np.diff(single)) & (n > WINDOW)):
@@ -113,19 +137,8 @@ def base_failed() -> Column:
 
 
 def ratios() -> dict[str, Column]:
-    """Whole per-mille ratios of the counts (wide: a hundredth of a character a word, x10)."""
-
-    def mille(a: str, b: str) -> Column:
-        return F.expr(f"{a} * 1000 div greatest({b}, 1)")
-
-    return {
-        "symbols": mille("n_symbols", "n_words"),
-        "duplicate_lines": mille("n_dup_lines", "n_lines"),
-        "repeats": mille("n_repeat_words", "n_words"),
-        "capitals": mille("n_capitals", "word_chars"),
-        "marks": mille("n_marks", "n_words"),
-        "wide": mille("word_chars", "n_words"),
-    }
+    """Whole per-mille ratios of the counts (``wide``: a thousandth of a character a word)."""
+    return {k: F.expr(f"{a} * 1000 div greatest({b}, 1)") for k, (a, b, _) in RATIOS.items()}
 
 
 def bucket(v: Column) -> Column:
@@ -141,34 +154,68 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): the sketches of all groups, in one aggregate."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in ratios().items())))
-    return measured.where("n_words > 0").select("lang", "source", each.alias("s")).groupBy("lang", "source", "s.ratio", "s.bucket").agg(F.count("*").alias("n"))
+    """(lang, source, ratio, top, n): the sketches of all groups, in one aggregate.
+
+    Beside the ratios there are sketches of the counts that these are shares of; ``top`` is
+    the largest number in a bucket.
+    """
+    values = ratios() | {b: F.col(b) for _, b, _ in RATIOS.values()}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), bucket(v).alias("bucket")) for k, v in values.items())))
+    counted = measured.where("n_words > 0").select("lang", "source", each.alias("s")).groupBy("lang", "source", "s.ratio", "s.bucket").agg(F.count("*").alias("n"))
+    return counted.select("lang", "source", "ratio", bucket_top(F.col("bucket")).alias("top"), "n")
 
 
-def _levels(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Threshold of each ratio for the sketches merged by the columns ``by``."""
-    merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
+def _running(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches merged by ``by`` and ratio, with running and whole counts."""
+    merged = rows.groupBy(*by, "ratio", "top").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "ratio")
-    run = merged.select(*by, "ratio", bucket_top(F.col("bucket")).alias("top"), F.sum("n").over(w.orderBy("bucket")).alias("cum"), F.sum("n").over(w).alias("total"))
+    return merged.select(*by, "ratio", "top", "n", F.sum("n").over(w.orderBy("top")).alias("cum"), F.sum("n").over(w).alias("total"))
+
+
+def _quantile(part: int, whole: int) -> Column:
+    return F.min(F.when(F.col("cum") * whole >= F.col("total") * part, F.col("top")))
 
-    def quantile(q: int) -> Column:
-        return F.min(F.when(F.col("cum") * 100 >= F.col("total") * q, F.col("top")))
 
-    slack = F.element_at(F.create_map(*(x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v)))), F.col("ratio"))
-    q = run.groupBy(*by, "ratio").agg(quantile(50).alias("q50"), quantile(75).alias("q75"), F.first("total").alias("total"))
-    q = q.withColumn("limit", F.col("q50") + F.greatest(F.lit(REACH) * (F.col("q75") - F.col("q50")), slack))
-    return q.groupBy(*by).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(k) for k in SLACK))
+def _prior(running: DataFrame, by: list[str]) -> DataFrame:
+    """The PRIOR pseudo-documents of each sketch: its evenly spread quantiles."""
+    return running.groupBy(*by, "ratio").agg(F.array(*(_quantile(2 * k + 1, 2 * PRIOR) for k in range(PRIOR))).alias("prior"))
+
+
+def _filled(rows: DataFrame, by: list[str], prior: DataFrame, on: Column) -> DataFrame:
+    """``rows`` and, for each of their sketches, the pseudo-documents of the one above."""
+    keys = rows.select(*by, "ratio").distinct()
+    more = keys.join(prior.withColumnRenamed("ratio", "r"), (F.col("ratio") == F.col("r")) & on).select(*by, "ratio", F.explode("prior").alias("top"), F.lit(1).cast("long").alias("n"))
+    return rows.select(*by, "ratio", "top", "n").unionByName(more)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, max_<ratio> ...) a row for each group."""
-    own = _levels(sketch, ["lang", "source"])
-    lang = _levels(sketch, ["lang"]).select(F.col("lang").alias("l"), F.struct("total", *SLACK).alias("by_lang"))
-    all_ = _levels(sketch.withColumn("every", F.lit(1)), ["every"]).select("every", F.struct("total", *SLACK).alias("by_all"))
-    joined = own.withColumn("every", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(all_, "every")
-    use = F.when(F.col("total") >= LEAST, F.struct("total", *SLACK)).when(F.col("by_lang.total") >= LEAST, F.col("by_lang")).otherwise(F.col("by_all"))
-    return joined.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), use.alias("use")).select("g_lang", "g_source", *(F.col(f"use.{k}").alias(f"max_{k}") for k in SLACK))
+    """(g_lang, g_source, max_<ratio> ..., own_<ratio> ...), a row for each group; ``own`` says
+    that the spread of the group's quantiles, not the single event, makes up the larger part."""
+    above = _prior(_running(sketch, []), [])
+    langs = _running(_filled(sketch, ["lang"], above, F.lit(True)), ["lang"])
+    prior = _prior(langs, ["lang"]).withColumnRenamed("lang", "l")
+    run = _running(_filled(sketch, ["lang", "source"], prior, F.col("lang").eqNullSafe(F.col("l"))), ["lang", "source"])
+    q = run.groupBy("lang", "source", "ratio").agg(*(_quantile(p, 100).alias(f"q{p}") for p in (25, 50, *CLIMB)))
+    sizes = q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == b, F.col("q50"))).alias(f"mid_{b}") for b in sorted({b for _, b, _ in RATIOS.values()})))
+    sizes = sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(c for c in sizes.columns if c.startswith("mid_")))
+    q = q.where(F.col("ratio").isin(*RATIOS)).join(sizes, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
+    event = F.lit(1)
+    for k, (_, b, n) in RATIOS.items():
+        event = F.when(F.col("ratio") == k, F.greatest(F.lit(1), F.expr(f"{1000 * n} div greatest(mid_{b}, 1)"))).otherwise(event)
+    q = q.withColumn("event", event).withColumn("spread", F.col("q50") - F.col("q25")).withColumn("on", F.lit(True))
+    for p in CLIMB:
+        far = F.col(f"q{p}") - F.col("q50")
+        q = q.withColumn("on", F.col("on") & (far <= JUMP * (F.col("spread") + F.col("event")))).withColumn("spread", F.when(F.col("on"), F.greatest("spread", far)).otherwise(F.col("spread")))
+    q = q.withColumn("limit", F.col("q50") + REACH * (F.col("spread") + F.col("event")))
+    pick = lambda k, c: F.max(F.when(F.col("ratio") == k, c))
+    return q.groupBy("g_lang", "g_source").agg(*(pick(k, F.col("limit")).alias(f"max_{k}") for k in RATIOS), *(pick(k, F.col("spread") > F.col("event")).alias(f"own_{k}") for k in RATIOS))
+
+
+def _beyond() -> Column:
+    out = F.lit(False)
+    for k, v in ratios().items():
+        out = out | F.coalesce(v > F.col(f"max_{k}"), F.lit(False))
+    return out
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -177,12 +224,9 @@ def quality(docs: DataFrame) -> DataFrame:
     limit = stored(thresholds(sketches(measured)))
     # one row a group; Spark broadcasts it below its own size threshold and shuffles beyond
     joined = measured.join(limit, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    over = [F.coalesce(v > F.col(f"max_{k}"), F.lit(False)) for k, v in ratios().items()]
-    beyond = over[0]
-    for x in over[1:]:
-        beyond = beyond | x
+    beyond = _beyond()
     return joined.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"), *(f"max_{k}" for k in SLACK)
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"), *(f"max_{k}" for k in RATIOS)
     )
 
 
@@ -209,7 +253,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*packed.drop("text").schema, *(T.StructField(c, T.LongType()) for c in _COUNTS)])
     again = arrow(packed, _judged(["r", "lang", "source"]), schema)
     joined = again.join(limit, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    beyond = F.lit(False)
-    for k, v in ratios().items():
-        beyond = beyond | F.coalesce(v > F.col(f"max_{k}"), F.lit(False))
-    return joined.where(~base_failed() & ~beyond).select("r.*")
+    return joined.where(~base_failed() & ~_beyond()).select("r.*")

@@ -83,26 +83,40 @@ ORACLE_SQL: dict[str, str] = {
         f as (select r, doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
                      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
                      coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines,
+                     coalesce(list_sum(list_transform(range(1, len(w)), lambda i: (w[i] = w[i + 1])::int)), 0)::bigint as n_stutter,
                      length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_capitals, length(regexp_replace(text, '[^!?~^_=+{}\[\]\\/@`]', '', 'g'))::bigint as n_marks
               from d left join rep using (r) left join dup using (r)),
         m as (select *, n_symbols * 1000 // greatest(n_words, 1) as symbols, n_dup_lines * 1000 // greatest(n_lines, 1) as duplicate_lines, n_repeat_words * 1000 // greatest(n_words, 1) as repeats,
-                     n_capitals * 1000 // greatest(word_chars, 1) as capitals, n_marks * 1000 // greatest(n_words, 1) as marks, word_chars * 1000 // greatest(n_words, 1) as wide from f),
-        long as (unpivot (select lang, source, symbols, duplicate_lines, repeats, capitals, marks, wide from m where n_words > 0) on symbols, duplicate_lines, repeats, capitals, marks, wide into name ratio value v),
+                     n_stutter * 1000 // greatest(n_words, 1) as stutter, n_capitals * 1000 // greatest(word_chars, 1) as capitals, n_marks * 1000 // greatest(n_words, 1) as marks, word_chars * 1000 // greatest(n_words, 1) as wide from f),
+        long as (unpivot (select coalesce('=' || lang, 'null') as lang, coalesce('=' || source, 'null') as source, symbols, duplicate_lines, repeats, stutter, capitals, marks, wide, n_words, n_lines, word_chars from m where n_words > 0)
+                 on symbols, duplicate_lines, repeats, stutter, capitals, marks, wide, n_words, n_lines, word_chars into name ratio value v),
         e as (select lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) as e from long),
-        top as (select lang, source, ratio, (((v >> e) + 1) << e) - 1 as t from e),
-        slack as (select * from (values ('symbols', 150), ('duplicate_lines', 300), ('repeats', 150), ('capitals', 150), ('marks', 200), ('wide', 3000)) s(ratio, slack)),
-        q as (select kind, lang, source, ratio, total, q50 + greatest(6 * (q75 - q50), slack) as lim from (
-                select 'own' as kind, lang, source, ratio, count(*) as total, quantile_disc(t, 0.5) as q50, quantile_disc(t, 0.75) as q75 from top group by lang, source, ratio
-                union all select 'lang', lang, null, ratio, count(*), quantile_disc(t, 0.5), quantile_disc(t, 0.75) from top group by lang, ratio
-                union all select 'all', null, null, ratio, count(*), quantile_disc(t, 0.5), quantile_disc(t, 0.75) from top group by ratio) join slack using (ratio)),
-        lim as (select o.lang, o.source, o.ratio, case when o.total >= 50 then o.lim when l.total >= 50 then l.lim else a.lim end as lim
-                from (from q where kind = 'own') o join (from q where kind = 'lang') l on l.lang is not distinct from o.lang and l.ratio = o.ratio join (from q where kind = 'all') a on a.ratio = o.ratio),
-        wide_lim as (select lang, source, max(lim) filter (ratio = 'symbols') as max_symbols, max(lim) filter (ratio = 'duplicate_lines') as max_duplicate_lines, max(lim) filter (ratio = 'repeats') as max_repeats,
+        sk as (select lang, source, ratio, (((v >> e) + 1) << e) - 1 as top, count(*) as n from e group by all),
+        ks as (select unnest(range(0, 20)) as k),
+        run0 as (select ratio, top, sum(n) over (partition by ratio order by top) as cum, sum(n) over (partition by ratio) as total from (select ratio, top, sum(n) as n from sk group by all)),
+        pri0 as (select ratio, k, min(top) filter (cum * 40 >= total * (2 * k + 1)) as top from run0, ks group by all),
+        rows1 as (select lang, ratio, top, n from sk union all select lang, ratio, top, 1 from (select distinct lang, ratio from sk) join pri0 using (ratio)),
+        run1 as (select lang, ratio, top, sum(n) over (partition by lang, ratio order by top) as cum, sum(n) over (partition by lang, ratio) as total from (select lang, ratio, top, sum(n) as n from rows1 group by all)),
+        pri1 as (select lang, ratio, k, min(top) filter (cum * 40 >= total * (2 * k + 1)) as top from run1, ks group by all),
+        rows2 as (select lang, source, ratio, top, n from sk union all select lang, source, ratio, top, 1 from (select distinct lang, source, ratio from sk) join pri1 using (lang, ratio)),
+        run2 as (select lang, source, ratio, top, sum(n) over (partition by lang, source, ratio order by top) as cum, sum(n) over (partition by lang, source, ratio) as total from (select lang, source, ratio, top, sum(n) as n from rows2 group by all)),
+        q as (select lang, source, ratio, min(top) filter (cum * 100 >= total * 25) as q25, min(top) filter (cum * 100 >= total * 50) as q50, min(top) filter (cum * 100 >= total * 75) as q75, min(top) filter (cum * 100 >= total * 90) as q90,
+                     min(top) filter (cum * 100 >= total * 95) as q95, min(top) filter (cum * 100 >= total * 98) as q98, min(top) filter (cum * 100 >= total * 99) as q99 from run2 group by all),
+        ev as (select * from (values ('symbols', 'n_words', 1000), ('duplicate_lines', 'n_lines', 1000), ('repeats', 'n_words', 10000), ('stutter', 'n_words', 1000), ('capitals', 'word_chars', 5000), ('marks', 'n_words', 1000), ('wide', 'n_words', 5000)) x(ratio, share, n)),
+        u as (select q.*, greatest(1, ev.n // greatest(m.q50, 1)) as u from q join ev using (ratio) join q m on m.lang = q.lang and m.source = q.source and m.ratio = ev.share),
+        s0 as (select *, q50 - q25 as s, true as ok from u),
+        s1 as (select * replace (case when ok and q75 - q50 <= 4 * (s + u) then greatest(s, q75 - q50) else s end as s, ok and q75 - q50 <= 4 * (s + u) as ok) from s0),
+        s2 as (select * replace (case when ok and q90 - q50 <= 4 * (s + u) then greatest(s, q90 - q50) else s end as s, ok and q90 - q50 <= 4 * (s + u) as ok) from s1),
+        s3 as (select * replace (case when ok and q95 - q50 <= 4 * (s + u) then greatest(s, q95 - q50) else s end as s, ok and q95 - q50 <= 4 * (s + u) as ok) from s2),
+        s4 as (select * replace (case when ok and q98 - q50 <= 4 * (s + u) then greatest(s, q98 - q50) else s end as s, ok and q98 - q50 <= 4 * (s + u) as ok) from s3),
+        s5 as (select * replace (case when ok and q99 - q50 <= 4 * (s + u) then greatest(s, q99 - q50) else s end as s, ok and q99 - q50 <= 4 * (s + u) as ok) from s4),
+        lim as (select lang, source, ratio, (q50 + 4 * (s + u))::bigint as lim from s5),
+        wide_lim as (select lang as gl, source as gs, max(lim) filter (ratio = 'symbols') as max_symbols, max(lim) filter (ratio = 'duplicate_lines') as max_duplicate_lines, max(lim) filter (ratio = 'repeats') as max_repeats, max(lim) filter (ratio = 'stutter') as max_stutter,
                             max(lim) filter (ratio = 'capitals') as max_capitals, max(lim) filter (ratio = 'marks') as max_marks, max(lim) filter (ratio = 'wide') as max_wide from lim group by lang, source)
         select doc_id, m.lang, m.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-               not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(symbols > max_symbols or duplicate_lines > max_duplicate_lines or repeats > max_repeats or capitals > max_capitals or marks > max_marks or wide > max_wide, false) as kept,
-               max_symbols, max_duplicate_lines, max_repeats, max_capitals, max_marks, max_wide
-        from m left join wide_lim w on w.lang is not distinct from m.lang and w.source is not distinct from m.source
+               not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(symbols > max_symbols or duplicate_lines > max_duplicate_lines or repeats > max_repeats or stutter > max_stutter or capitals > max_capitals or marks > max_marks or wide > max_wide, false) as kept,
+               max_symbols, max_duplicate_lines, max_repeats, max_stutter, max_capitals, max_marks, max_wide
+        from m left join wide_lim w on w.gl = coalesce('=' || m.lang, 'null') and w.gs = coalesce('=' || m.source, 'null')
     """,
     "op5_minhash_near_dedup": rf"""
         with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),

@@ -19,9 +19,6 @@ U64 = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone and whole.
 CHUNK_BYTES = 2_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INV = pow(_BASE, -1, 1 << 64)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
@@ -36,22 +33,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_CODE_LOWER = _CODE[_LOWER]
-_CODE2_LOWER = mix(_CODE ^ U64(0x2545F4914F6CDD1D))[_LOWER]
-
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INV)):
-            t = np.full(size, base, U64)
-            t[0] = 1
-            _powers[k] = np.multiply.accumulate(t)
-    return _powers[0], _powers[1]
+_LOWER = _LOWER.astype(np.uint8)
+#: Longer ranges are hashed one by one; shorter ones eight bytes a step, all at once.
+LONG = 256
+_STEPS = (U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F))
+_STARTS = (U64(0x2545F4914F6CDD1D), U64(0x9E3779B97F4A7C15))
 
 
 class Flat(NamedTuple):
@@ -116,19 +102,37 @@ def words(flat: Flat) -> Words:
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of each byte range, A-Z folded first if ``lower``."""
-    return _range_hashes(data, start, end, _CODE_LOWER if lower else _CODE)
+    return _range_hashes(_LOWER[data] if lower else data, start, end, 0)
 
 
 def range_hashes2(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash of each byte range, A-Z folded."""
-    return _range_hashes(data, start, end, _CODE2_LOWER)
-
-
-def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
-    forward, back = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(code[data] * forward[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    """Another 64-bit hash of each byte range, A-Z folded, of another function."""
+    return _range_hashes(_LOWER[data], start, end, 1)
+
+
+def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """The state takes in eight bytes a step and is mixed after each, so that no algebra of
+    the bytes (periods, swaps, Thue-Morse strings) survives; ranges over LONG bytes go
+    through xxh3.  ``which`` picks one of two unrelated functions."""
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(size.astype(U64) * _STEPS[1 - which] + _STARTS[which])
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = start[live]
+    while len(live):
+        left = end[live] - at
+        x = eight[at] & (U64((1 << 64) - 1) >> ((8 - np.minimum(left, 8)).astype(U64) * U64(8)))
+        h[live] = mix((h[live] ^ x) * _STEPS[which] + _STARTS[1 - which])
+        on = left > 8
+        live, at = live[on], at[on] + 8
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        import xxhash
+
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], which + 1) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return h
 
 
 def word_hashes(flat: Flat, w: Words, lower: bool = True) -> np.ndarray:

@@ -83,3 +83,45 @@ def test_buckets_hold_their_numbers(spark, v):
     b, top = spark.range(1).select(quality.bucket(F.lit(v).cast("long")).alias("b")).select("b", quality.bucket_top(F.col("b")).alias("t")).first()
     below = spark.range(1).select(quality.bucket_top(F.lit(b - 1)).alias("t")).first()[0] if b else -1
     assert below < v <= top <= v * 33 / 32 + 1
+
+
+@pytest.mark.parametrize("share", [30, 45])
+def test_a_group_that_is_largely_junk_does_not_raise_its_own_limits(spark, share):
+    """One source holds most rows and junk of one kind makes up to 45% of it."""
+    from tests.llm.fixtures import prose
+    import random
+
+    r = random.Random(6)
+    junk = [lambda t: t.replace(" ", "$$ ### "), str.upper, lambda t: " ".join(w + " " + w for w in t.split())]
+    rows, bad = [], set()
+    for k in range(300):
+        t = prose(r, 80)
+        if k % 100 < share:
+            t = junk[k % 3](t)
+            bad.add(k)
+        rows.append((k, t, "en", "hot", 1))
+    rows += [(1000 + k, prose(r, 80), "en", f"s{k % 4}", 1) for k in range(80)]
+    kept = {x.doc_id for x in quality.quality(table(spark, rows)).where("kept").collect()}
+    assert not kept & bad
+    assert len(kept) >= 0.97 * (len(rows) - len(bad))
+
+
+def test_quantiles_set_the_limits(spark):
+    """Groups alike but for their spread get limits that follow it."""
+    import random
+
+    r = random.Random(7)
+    text = lambda width: " ".join("x" * r.randint(6 - width, 6 + width) for _ in range(60))
+    rows = [(k, text(0), "en", "narrow", 1) for k in range(150)] + [(500 + k, text(5), "en", "wide", 1) for k in range(150)]
+    got = {x.source: x for x in quality.quality(table(spark, rows)).collect()}
+    assert got["narrow"].max_wide < got["wide"].max_wide
+
+
+def test_stutter_is_counted():
+    import pyarrow as pa
+
+    from termloom.llm import textkernel as tk
+
+    texts = ["a a a b", "", "b", "b b", None, "c C"]
+    got = [n for f in tk.chunks(pa.array(texts)) for n in quality.text_counts(f)["n_stutter"].tolist()]
+    assert got == [2, 0, 0, 1, 0, 0]
