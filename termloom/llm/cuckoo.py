@@ -77,9 +77,16 @@ class CuckooFilter:
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Removes one entry for each key; every key must be held."""
         bucket, mark = self._home(k1, k2)
-        for b, m in zip(bucket.tolist(), mark.tolist()):
-            for at in (b, int(self._other(np.array([b]), np.array([m], np.uint16))[0])):
-                slots = np.flatnonzero(self.table[at] == m)
-                if len(slots):
-                    self.table[at, slots[0]] = 0
-                    break
+        for side in (0, 1):  # what the home bucket does not hold is in the other one
+            where = self._other(bucket, mark) if side else bucket
+            left = np.arange(len(where))
+            while len(left):
+                match = self.table[where[left]] == mark[left, None]
+                left, slot = left[match.any(1)], match.argmax(1)[match.any(1)]
+                # keys with the same bucket and mark take their entries one a turn
+                _, pick = np.unique(where[left] * SLOTS + slot, return_index=True)
+                self.table[where[left[pick]], slot[pick]] = 0
+                mark[left[pick]] = 0
+                left = np.delete(left, pick)
+            keep = mark > 0
+            bucket, mark = bucket[keep], mark[keep]

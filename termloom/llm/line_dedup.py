@@ -156,7 +156,8 @@ class LineStore:
         added = stored(counted.join(known, _KEY, "left_anti").select(*_KEY, F.col("more").alias("n_docs"), F.col("top").alias("last_doc")))
         refs = stored(self.refs.join(known, _KEY, "left_anti").unionByName(known).unionByName(added))
         filters, shards = self._refiltered(refs, added, None)
-        return LineStore(stored(self.postings.unionByName(fresh)), refs, filters, shards, self.shard_keys)
+        # postings are only added to: nothing written before is written again
+        return LineStore(self.postings.unionByName(fresh), refs, filters, shards, self.shard_keys)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """The store without the documents whose ids are in ``doc_ids(doc_id)``."""
@@ -214,10 +215,26 @@ def resolve(store: LineStore, docs: DataFrame, *, min_docs: int = MIN_DOCS, text
 
     A key held by ``min_docs`` documents loses its lines in all but the largest doc_id.
     """
-    joined = _narrow(docs).join(store.drops(min_docs).hint("shuffle_hash"), "doc_id", "left")
+    joined = _narrow(docs).join(store.drops(min_docs), "doc_id", "left")
     return arrow(joined, _resolve(texts), "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def build(docs: DataFrame, *, batches: int = 2, withdrawn: int = 32, shard_keys: int = SHARD_KEYS) -> LineStore:
+    """A store of ``docs``, filled as an archive is: batch after batch (by a hash of the
+    id), each of which asks the filters of those before; then a ``withdrawn``-th of the
+    documents is deleted and comes back in.  The state is that of one insertion of all.
+    """
+    id_ = F.col("doc_id").cast("long")
+    part = F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(batches))
+    store = LineStore.empty(docs.sparkSession, shard_keys)
+    for k in range(batches):
+        store = store.insert(docs.where(part == k))
+    if withdrawn:
+        some = docs.where(F.pmod(F.xxhash64(id_, F.lit(2)), F.lit(withdrawn)) == 0)
+        store = store.delete(some.select("doc_id")).insert(some)
+    return store
+
+
+def dedup_lines(docs: DataFrame, *, batches: int = 1, withdrawn: int = 0, shard_keys: int = SHARD_KEYS, **options) -> DataFrame:
     """``resolve`` over a store made of ``docs`` itself."""
-    return resolve(LineStore.empty(docs.sparkSession).insert(docs), docs, **options)
+    return resolve(build(docs, batches=batches, withdrawn=withdrawn, shard_keys=shard_keys), docs, **options)

@@ -46,7 +46,8 @@ def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_docs(spark, sf_dir))
+    # two loads, the second against the filters of the first, then a deletion and its reversal
+    return line_dedup.dedup_lines(_docs(spark, sf_dir), batches=2, withdrawn=32)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ def test_matches_brute_force(spark):
     for rows in (awkward(), corpus(), [(1, "a" * 19 + "\n" + "b" * 20, "en", "a", 1)] * 4):
         df = clashing(table(spark, rows), "k1", "dropped", "n_lines", "shard")
         assert rows_of(line_dedup.dedup_lines(df)) == brute(rows)
+        assert rows_of(line_dedup.dedup_lines(df, batches=3, withdrawn=3, shard_keys=16)) == brute(rows)
 
 
 def test_texts(spark):
@@ -92,3 +93,25 @@ def test_cuckoo_filter_refuses_to_overflow():
     g = np.random.default_rng(0)
     with pytest.raises(OverflowError):
         f.insert(g.integers(0, 2**62, 500), g.integers(0, 2**62, 500), max_rounds=50)
+
+
+def test_second_insert_leaves_new_keys_to_the_filters(spark):
+    """Keys that the filters do not know are counted without the exact table."""
+    rows = corpus()
+    a = line_dedup.LineStore.empty(spark).insert(table(spark, rows[:40]))
+    # a store whose exact table lost its rows still takes in the keys that its filters do not know
+    blind = line_dedup.LineStore(a.postings, a.refs.limit(0), a.filters, a.shards, a.shard_keys)
+    b, c = a.insert(table(spark, rows[40:])), blind.insert(table(spark, rows[40:]))
+    known = {(r.k1, r.k2) for r in a.refs.collect()}
+    fresh = lambda s: {(r.k1, r.k2, r.n_docs) for r in s.refs.collect() if (r.k1, r.k2) not in known}
+    assert fresh(b) == fresh(c) and len(fresh(b)) > 20
+
+
+def test_cuckoo_filter_deletes_equal_entries_one_by_one():
+    f = CuckooFilter(100)
+    k = np.array([5, 5, 5, 9], np.int64)
+    f.insert(k, k)
+    f.delete(k[:2], k[:2])
+    assert f.entries == 2 and f.contains(k, k).all()
+    f.delete(k[:1], k[:1])
+    assert f.entries == 1 and not f.contains(k[:1], k[:1]).any()
