@@ -1,22 +1,26 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a mask over a window of words: marked places are hashed, the others ignored, so
-a window still hits when words at ignored places were changed.  The hashes of all windows
-of the benchmark items form an index; every window of every document is looked up, and
-around each hit the item and the document are aligned on the hit's diagonal.  The best
-stretch (a match counts 1, a changed word -2) must hold enough equal words.
-
-The index is sent to the executors in blocks of bounded size, one pass over the documents
-for each block, so a benchmark of any size works; documents are never moved.
+a window still hits when words at ignored places were changed.  The seed hashes of the
+benchmark items and those of the documents are joined; around each hit the item and the
+document are aligned on the hit's diagonal.  The best stretch (a match counts 1, a changed
+word -2) must hold enough equal words.
+
+Equal items are one item, known by the least id.  A Bloom filter of the items' seed hashes,
+at most 2**FILTER_BITS bits, turns documents' windows away before the join; a benchmark that
+outgrows it lets more windows pass, and none is lost.  The join is by seed hash; one that very
+many documents hold is salted.  A hit only names a pair of document and item: places are
+not paired, so words that repeat thousands of times on both sides cost no more than the diagonals
+of the two texts.
 
 Nulls and empties: a null or empty text, on either side, matches nothing.  An item with
 fewer words than the narrowest seed is indexed as a whole and must occur whole.  Repeated
-rows are judged alike; repeated items are reported by their ids.  A null item_id is kept.
+rows are judged alike.  A null item_id is kept where no equal item has an id.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,21 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import textkernel as tk
-from termloom.llm.storage import arrow
+from termloom.llm.storage import arrow, stored
 
 U64 = np.uint64
-#: Masks of weight 6 over up to 11 words.  Any two changed words in a window of eleven
-#: leave one of them whole at some place.
-MASKS = ("111111", "11011011", "1101000111", "10101101001", "1110010000011")
+#: Six masks of weight 6.  Of overlaps of ten equal words, these find all with up to two changed
+#: words among them, wherever these stand, and all but one of the 286 placements of three.
+MASKS = ("111111", "11101000011", "1110001011", "1101111", "100111011", "11010111")
 #: An overlap needs so many equal words, or all words of a shorter item.
 MIN_EQUAL = 10
-#: Words of benchmark items in one block of the index (some 100 bytes each).
-BLOCK_WORDS = 1_000_000
-_BITS = 22
-
-
-def _places(mask: str) -> list[int]:
-    return [k for k, c in enumerate(mask) if c == "1"]
+#: Bits of the filter for each seed hash, hashes of the filter, and its largest size (32 MB).
+HASH_BITS, PROBES, FILTER_BITS = 32, 6, 28
+#: Documents of one seed hash that meet its items in one task, about.
+SALT_ROWS = 100_000
+#: Rows of small tables that are sent to all executors; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_NARROW = min(map(len, MASKS))
 
 
 def _windows(h: np.ndarray, at: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,175 +53,231 @@ def _windows(h: np.ndarray, at: np.ndarray, mask: str, number: int) -> tuple[np.
     doc_end = np.repeat(at[1:], np.diff(at))
     first = first[first + span <= doc_end[: len(first)]]
     x = np.full(len(first), number + 1, U64)
-    for k in _places(mask):
+    for k in (k for k, c in enumerate(mask) if c == "1"):
         x = tk.mix(x * U64(0x9FB21C651E98DF25) + h[first + k])
     return x, first
 
 
-class Index:
-    """The seed hashes of a block of items."""
+def _probes(sizes: tuple[int, ...]) -> list[tuple[str, int]]:
+    """The masks, and one that covers a whole item for each size of short items."""
+    return [(mask, k) for k, mask in enumerate(MASKS)] + [("1" * size, 999 + size) for size in sizes]
 
-    def __init__(self, items: pa.RecordBatch, masks: tuple[str, ...] = MASKS):
-        self.ids = items.column("item_id")
-        flats = list(tk.chunks(items.column("text")))
-        hashes, counts = [], []
-        for flat in flats:
-            w = tk.words(flat)
-            hashes.append(tk.word_hashes(flat, w))
-            counts.append(np.diff(w.at))
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.at = np.concatenate(([0], np.cumsum(n)))
-        self.masks = masks
-        narrow = min(map(len, masks))
-        keys, places, items_ = [], [], []
-        owner = np.repeat(np.arange(len(n)), n)
-        for k, mask in enumerate(masks):
-            x, first = _windows(self.words, self.at, mask, k)
-            keys.append(x)
-            places.append(first)
-            items_.append(owner[first])
-        self.short = {}
-        for d in np.flatnonzero((n > 0) & (n < narrow)):
-            self.short.setdefault(int(n[d]), []).append(int(d))
-        for size, ds in self.short.items():
-            x = np.full(len(ds), 1_000 + size, U64)
-            for k in range(size):
-                x = tk.mix(x * U64(0x9FB21C651E98DF25) + self.words[self.at[ds] + k])
-            keys.append(x)
-            places.append(self.at[ds])
-            items_.append(np.array(ds))
-        keys = np.concatenate(keys) if keys else np.zeros(0, U64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.places, self.owner = keys[order], np.concatenate(places)[order], np.concatenate(items_)[order]
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[(self.keys >> U64(64 - _BITS)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document word, index entry) of every equal seed hash."""
-        got = []
-        probes = [(mask, k) for k, mask in enumerate(self.masks)] + [("1" * size, 999 + size) for size in self.short]
-        for mask, number in probes:
-            x, first = _windows(h, at, mask, number)
-            near = self.table[(x >> U64(64 - _BITS)).astype(np.int64)]
-            x, first = x[near], first[near]
-            lo, hi = np.searchsorted(self.keys, x, "left"), np.searchsorted(self.keys, x, "right")
-            many = hi - lo
-            entry = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            got.append((np.repeat(first, many), entry))
-        return tuple(np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
-
-    def overlaps(self, h: np.ndarray, at: np.ndarray, min_equal: int) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(document, item) -> (equal words, first word of the stretch, its words)."""
-        word, entry = self.hits(h, at)
-        if not len(word):
-            return {}
-        doc = np.searchsorted(at, word, "right") - 1
-        item, diagonal = self.owner[entry], word - self.places[entry]
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, g in np.unique(np.stack((doc, item, diagonal), 1), axis=0).tolist():
-            a, b = int(self.at[i]), int(self.at[i + 1])
-            lo, hi = max(a, int(at[d]) - g), min(b, int(at[d + 1]) - g)
-            same = h[lo + g : hi + g] == self.words[lo:hi]
-            best, run, begin, stretch = 0, 0, 0, (0, 0)
-            for k, s in enumerate(same.tolist()):
-                if run <= 0:
-                    run, begin = 0, k
-                run += 1 if s else -2
-                if run > best:
-                    best, stretch = run, (begin, k + 1)
-            equal = int(same[stretch[0] : stretch[1]].sum())
-            if equal >= min(min_equal, b - a):
-                key, value = (d, i), (equal, lo + g + stretch[0] - int(at[d]), stretch[1] - stretch[0])
-                if key not in found or value > found[key]:
-                    found[key] = value
-        return found
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[pa.RecordBatch]:
-    """The items in blocks of at most BLOCK_WORDS words; one block at a time is held.
-
-    Items are brought in by id ranges, each checked to be small.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    held, words_ = [], 0
-    for r in items.toLocalIterator():  # a partition at a time, never the whole table
-        n = len(r["text"].split()) + 1
-        if held and words_ + n > BLOCK_WORDS:
-            yield pa.RecordBatch.from_pylist(held, pa.schema([("item_id", pa.int64()), ("text", pa.string())]))
-            held, words_ = [], 0
-        held.append({"item_id": r["item_id"], "text": r["text"]})
-        words_ += n
-    if held:
-        yield pa.RecordBatch.from_pylist(held, pa.schema([("item_id", pa.int64()), ("text", pa.string())]))
 
+def _keys(h: np.ndarray, size: int) -> np.ndarray:
+    """The distinct seed hashes of an item."""
+    at = np.array([0, size])
+    probes = _probes(()) if size >= _NARROW else _probes((size,))[len(MASKS) :]
+    return np.unique(np.concatenate([_windows(h, at, *p)[0] for p in probes]))
 
-_cache: dict[bytes, Index] = {}
 
+def diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The offsets of ``doc`` against ``item`` on which a seed hits.
 
-def _index(shared) -> Index:
-    """The block's index, built once a worker; known by its content, for a worker serves
-    many jobs."""
-    raw = shared.value
-    key = hashlib.blake2b(raw, digest_size=16).digest()
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = Index(pa.ipc.open_stream(raw).read_next_batch())
-    return _cache[key]
-
-
-def _pack(block: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, block.schema) as w:
-        w.write_batch(block)
-    return sink.getvalue().to_pybytes()
-
+    Places are paired while they are few; where words repeat so often that the pairs outnumber
+    the diagonals, each diagonal is asked instead.  Both give the same.
+    """
+    n, m = len(doc), len(item)
+    if m < _NARROW:
+        whole = np.ones(max(0, n - m + 1), bool)
+        for k in range(m):
+            whole &= doc[k : k + len(whole)] == item[k]
+        return np.flatnonzero(whole)
+    found = []
+    for k, mask in enumerate(MASKS):
+        x, a = _windows(doc, np.array([0, n]), mask, k)
+        y, b = _windows(item, np.array([0, m]), mask, k)
+        order = np.argsort(y, kind="stable")
+        y, b = y[order], b[order]
+        lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        many = hi - lo
+        if many.sum() > 4 * (n + m):
+            return np.array([g for g in range(1 - m, n) if _seeded(_same(doc, item, g)[0])], np.int64)
+        entry = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found.append(np.repeat(a, many) - b[entry])
+    return np.unique(np.concatenate(found))
+
+
+def _same(doc: np.ndarray, item: np.ndarray, g: int) -> tuple[np.ndarray, int]:
+    """Which words of the diagonal are equal, and the item's word that it begins at."""
+    lo, hi = max(0, -g), min(len(item), len(doc) - g)
+    return doc[lo + g : hi + g] == item[lo:hi], lo
+
+
+def _seeded(same: np.ndarray) -> bool:
+    if int(same.sum()) < 6:
+        return False
+    for mask in MASKS:
+        n = len(same) - len(mask) + 1
+        if n > 0:
+            hit = np.ones(n, bool)
+            for k in (k for k, c in enumerate(mask) if c == "1"):
+                hit &= same[k : k + n]
+            if hit.any():
+                return True
+    return False
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray, min_equal: int) -> tuple[int, int, int] | None:
+    """(equal words, first word in the document, words) of the best stretch of all diagonals."""
+    best = None
+    for g in diagonals(doc, item).tolist():
+        same, lo = _same(doc, item, g)
+        score = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
+        least = np.minimum.accumulate(score)
+        end = int((score - least).argmax())
+        begin = int(np.flatnonzero(score[: end + 1] == least[end])[-1])
+        equal = int(same[begin:end].sum())
+        if equal >= min(min_equal, len(item)):
+            best = max(best or (0, 0, 0), (equal, lo + g + begin, end - begin))
+    return best
+
+
+def _itemized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for flat in tk.chunks(b.column("text")):
+            w = tk.words(flat)
+            h = tk.word_hashes(flat, w)
+            rows = []
+            for d in range(flat.n):
+                own = h[w.at[d] : w.at[d + 1]]
+                if len(own):
+                    # the sequence's print: each word's hash with its place
+                    place = tk.mix(own + np.arange(len(own), dtype=U64) * U64(0xD1342543DE82EF95))
+                    p1, p2 = tk.mix(place).sum(), tk.mix(place ^ U64(0x5851F42D4C957F2D)).sum()
+                    rows.append((b.column("item_id")[flat.first + d].as_py(), len(own), int(p1.view(np.int64)), int(p2.view(np.int64)), own.tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["item_id", "item_words", "i1", "i2", "item"])
+
+
+def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i1, i2, raw in zip(b.column("i1"), b.column("i2"), b.column("item")):
+            h = np.frombuffer(raw.as_buffer(), U64)
+            keys = _keys(h, len(h)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i1.as_py())), pa.array(np.full(len(keys), i2.as_py()))], ["key", "i1", "i2"])
+
+
+def _bits(bits: int, probe: int) -> int:
+    """The right shift that takes a probe's bits from a hash."""
+    return round(probe * (64 - bits) / (PROBES - 1))
+
+
+def _filter(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of the Bloom filter of all seed hashes; the driver gets its non-zero words."""
+    n = seeds.count()
+    bits = min(FILTER_BITS, max(12, math.ceil(math.log2(max(1, n) * HASH_BITS))))
+    places = F.array(*(F.shiftrightunsigned("key", _bits(bits, k)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(PROBES)))
+    set_ = seeds.select(F.explode(places).alias("p")).select(F.shiftrightunsigned("p", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    t = set_.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(1 << (bits - 6), U64)
+    words[t.column("word").to_numpy()] = t.column("bit").to_numpy().view(U64)
+    return bits, words
+
+
+def _candidates(shared, bits: int, sizes: tuple[int, ...]):
+    """Rows that hold a hash which may be an item's: their keys and their words' hashes."""
 
-def _report(shared, min_equal: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(shared)
+        words = shared.value
         for b in batches:
             for flat in tk.chunks(b.column("text")):
                 w = tk.words(flat)
-                found = index.overlaps(tk.word_hashes(flat, w), w.at, min_equal)
-                if found:
-                    ids = b.column("doc_id").slice(flat.first, flat.n)
-                    rows = [(ids[d].as_py(), index.ids[i].as_py(), *v, int(index.at[i + 1] - index.at[i])) for (d, i), v in sorted(found.items())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "n_equal", "first_word", "n_words", "item_words"])
+                h = tk.word_hashes(flat, w)
+                keys, docs = [], []
+                for probe in _probes(sizes):
+                    x, first = _windows(h, w.at, *probe)
+                    for k in range(PROBES):
+                        p = (x >> U64(_bits(bits, k))) & U64((1 << bits) - 1)
+                        near = (words[p >> U64(6)] >> (p & U64(63))) & U64(1) > 0
+                        x, first = x[near], first[near]
+                    keys.append(x)
+                    docs.append(np.searchsorted(w.at, first, "right") - 1)
+                x, d = np.concatenate(keys), np.concatenate(docs)
+                order = np.lexsort((x, d))
+                x, d = x[order], d[order]
+                new = np.ones(len(x), bool)
+                new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+                x, d = x[new], d[new]
+                own, at = np.unique(d, return_index=True)
+                if not len(own):
+                    continue
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(x.view(np.int64)))
+                raw = pa.array([h[w.at[k] : w.at[k + 1]].tobytes() for k in own.tolist()], pa.binary())
+                part = b.slice(flat.first, flat.n).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h1", "h2")), lists, raw], ["doc_id", "h1", "h2", "keys", "words"])
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_equal: int = MIN_EQUAL) -> DataFrame:
-    """(doc_id, item_id, n_equal, first_word, n_words, item_words): a row for each row of
-    ``docs`` and item with a verified overlap; the best stretch of the pair is given."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, n_equal long, first_word long, n_words long, item_words long"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-        out = out.unionAll(arrow(texts, _report(spark.sparkContext.broadcast(_pack(block)), min_equal), schema))
-    return out
-
-
-def _clean(shared, min_equal: int):
+def _verify(min_equal: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(shared)
         for b in batches:
-            for flat in tk.chunks(b.column("text")):
-                w = tk.words(flat)
-                hit = {d for d, _ in index.overlaps(tk.word_hashes(flat, w), w.at, min_equal)}
-                part = b.slice(flat.first, flat.n).select(["r"])
-                yield part.filter(pa.array([d not in hit for d in range(flat.n)])) if hit else part
+            best = [best_overlap(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), min_equal) for x, y in zip(b.column("words"), b.column("item"))]
+            hit = [k for k, v in enumerate(best) if v]
+            if hit:
+                part = b.take(pa.array(hit))
+                values = [pa.array(c, pa.int64()) for c in zip(*(best[k] for k in hit))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "i1", "i2")), *values], ["rid", "i1", "i2", "n_equal", "first_word", "n_words"])
 
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, stored, to be broadcast if it has few rows."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, min_equal: int) -> DataFrame | None:
+    """(doc_id, h1, h2, item_id, n_items, n_equal, first_word, n_words, item_words); ``h1`` and ``h2`` are hashes
+    of the row's text.  None if no item has a word."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = arrow(items, _itemized, "item_id long, item_words long, i1 long, i2 long, item binary")
+    items = stored(items.groupBy("item_words", "i1", "i2").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.first("item").alias("item")))
+    sizes = tuple(sorted(r[0] for r in items.where(F.col("item_words") < _NARROW).select("item_words").distinct().collect()))  # at most five
+    seeds = stored(arrow(items.select("i1", "i2", "item"), _item_keys, "key long, i1 long, i2 long"))
+    bits, words = _filter(seeds)
+    if not words.any():
+        return None
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text).alias("h2"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    held = arrow(rows, _candidates(shared, bits, sizes), "doc_id long, h1 long, h2 long, keys array<long>, words binary")
+    held = stored(held.withColumn("rid", F.monotonically_increasing_id()))
+
+    # seed hashes joined; those of very many documents in as many parts as they need
+    keys = held.select("rid", F.explode("keys").alias("key"))
+    hot = _small(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select("key", F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = keys.join(hot, "key", "left").select("rid", "key", F.pmod(F.xxhash64("rid"), parts).alias("salt"))
+    right = seeds.join(hot, "key", "left").select("key", "i1", "i2", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+    pairs = left.join(right, ["key", "salt"]).select("rid", "i1", "i2").distinct()
+    both = pairs.join(held.select("rid", "words"), "rid").join(items.select("i1", "i2", "item"), ["i1", "i2"])
+    seen = arrow(both.select("rid", "i1", "i2", "words", "item"), _verify(min_equal), "rid long, i1 long, i2 long, n_equal long, first_word long, n_words long")
+    return stored(seen).join(held.select("rid", "doc_id", "h1", "h2"), "rid").join(items.drop("item"), ["i1", "i2"])
+
+
+_SCHEMA = "doc_id long, item_id long, n_equal long, first_word long, n_words long, item_words long, n_items long"
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_equal: int = MIN_EQUAL) -> DataFrame:
+    """(doc_id, item_id, n_equal, first_word, n_words, item_words, n_items): a row for each row
+    of ``docs`` and distinct item with a verified overlap; the best stretch of the pair is given.
+    ``item_id`` is the least of the ``n_items`` equal items."""
+    found = _found(docs, benchmark, min_equal)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
+    return found.select("doc_id", "item_id", "n_equal", "first_word", "n_words", "item_words", "n_items")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_equal: int = MIN_EQUAL) -> DataFrame:
     """``docs`` without the rows that overlap an item, its columns unchanged."""
-    spark = docs.sparkSession
-    for block in _blocks(benchmark):
-        packed = docs.select(F.struct("*").alias("r"), "text")
-        schema = packed.drop("text").schema
-        docs = arrow(packed, _clean(spark.sparkContext.broadcast(_pack(block)), min_equal), schema).select("r.*")
-    return docs
+    found = _found(docs, benchmark, min_equal)
+    if found is None:
+        return docs
+    bad = _small(found.select(F.col("doc_id").alias("d"), "h1", "h2").distinct())
+    packed = docs.select(F.struct("*").alias("r"))
+    text = F.coalesce(F.col("r.text").cast("string"), F.lit(""))
+    same = F.col("r.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("h1")) & (F.xxhash64(F.lit(17), text) == F.col("h2"))
+    return packed.join(bad, same, "left_anti").select("r.*")
