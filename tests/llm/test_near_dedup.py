@@ -5,30 +5,27 @@ from termloom.llm import near_dedup
 from tests.llm.fixtures import SCHEMA, awkward, clashing, lower, table, words_of
 
 
-def sets(rows):
-    out = {}
-    for i, t, *_ in rows:
-        w = words_of(lower(t or ""))
-        out[i] = {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or ({tuple(w)} if w else set())
-    return out
+def words_set(t):
+    w = words_of(lower(t or ""))
+    return {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or ({tuple(w)} if w else set())
 
 
 def brute(rows, percent=75):
-    s = sets([r for r in rows if r[0] is not None])
-    parent = {i: i for i in s}
+    """doc_id -> (set sizes of its rows, component): rows of one doc_id are one document."""
+    s = [(i, words_set(t)) for i, t, *_ in rows if i is not None]
+    parent = {i: i for i, _ in s}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(s)
-    for a in ids:
-        for b in ids:
-            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(s[i]), find(i)) for i in ids}
+    for k, (a, x) in enumerate(s):
+        for b, y in s[:k]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: (sorted({len(y) for j, y in s if j == i}), find(i)) for i in parent}
 
 
 def check(spark, rows):
@@ -39,7 +36,7 @@ def check(spark, rows):
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
-            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+            assert r.n_shingles in want[r.doc_id][0] and r.component_id == want[r.doc_id][1]
             assert r.kept == (r.component_id == r.doc_id)
 
 
@@ -67,6 +64,68 @@ def test_chains_and_hubs(spark):
     check(spark, rows)
 
 
+def form_letters(n, own):
+    """Texts of one template, whose ``own`` words between keep them under the threshold."""
+    import random
+
+    from tests.llm.fixtures import prose
+
+    r = random.Random(n)
+    base = prose(r, 150).split()
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for p in r.sample(range(150), own):
+            w[p] = f"w{r.randrange(10**6)}"
+        rows.append((k, " ".join(w), "en", "hot", 1))
+    return rows
+
+
+def candidates(spark, rows):
+    """How many pairs the third step verifies, of texts that are all in other components."""
+    docs = table(spark, rows).selectExpr("doc_id", "text")
+    sets = near_dedup._sets_of(near_dedup.arrow(docs, near_dedup._full_sets(2), "id long, f long, elements array<long>").select("id", "f"), docs, 2)
+    return near_dedup.prefix_pairs(sets, sets.selectExpr("id", "id as part"), 75).count()
+
+
+def test_texts_of_one_template_without_links_yield_few_pairs(spark):
+    for n in (200, 400):
+        rows = form_letters(n, 26)  # some two thirds of two texts are common
+        want = brute(rows)
+        assert len({c for _, c in want.values()}) == n
+        assert candidates(spark, rows) <= 2 * n
+    check(spark, rows)
+
+
+def test_links_between_components_are_found(spark):
+    rows = form_letters(120, 9) + [(1000 + k, t + f" tail {k}", *x) for k, t, *x in form_letters(90, 12)]
+    check(spark, rows)
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    import random
+
+    r = random.Random(2)
+    pool = [f"e{k}" for k in range(60)]
+    rows = [(k, " ".join(r.sample(pool, r.randint(1, 14))), "en", "a", 1) for k in range(150)]
+    rows += [(200 + k, " ".join(w for w in rows[k][1].split() if r.random() > 0.1) or "x", "en", "a", 1) for k in range(150)]
+    docs = table(spark, rows).selectExpr("doc_id", "text")
+    sets = near_dedup._sets_of(near_dedup.arrow(docs, near_dedup._full_sets(1), "id long, f long, elements array<long>").select("id", "f"), docs, 1)
+    got = {tuple(sorted((x.a, x.b))) for x in near_dedup.prefix_pairs(sets, sets.selectExpr("id", "id as part"), 75).collect()}
+    one = {i: set(t.split()) for i, t, *_ in rows}
+    want = {(a, b) for a in one for b in one if a < b and 100 * len(one[a] & one[b]) >= 75 * len(one[a] | one[b])}
+    assert want <= got and len(got) < 0.5 * len(one) ** 2 / 2
+
+
+def test_rows_of_one_id_with_other_texts_are_one_document(spark):
+    from tests.llm.fixtures import prose
+    import random
+
+    r = random.Random(4)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    check(spark, [(1, a, "en", "x", 1), (2, a + " end", "en", "x", 1), (2, b, "en", "x", 1), (3, b + " end", "en", "x", 1), (3, c, "en", "x", 1), (4, c, "en", "x", 1), (5, prose(r, 60), "en", "x", 1), (5, None, "en", "x", 1)])
+
+
 def test_keep_one_leaves_one_row_of_each_component(spark):
     rows = awkward()
     want = brute(rows)
