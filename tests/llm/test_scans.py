@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +109,68 @@ def test_novel_values_beside_their_names():
     assert len(secrets.novel_spans("auth" * 200_000 + f" {far}", [])) == 1
 
 
+def brute_novel(t, judge):
+    """Every token against every cue and every base span, one after the other."""
+    base, out = base_secrets(t), []
+    cues = [m.span() for m in secrets._CUE.finditer(t)]
+    for m in secrets._TOKEN.finditer(t):
+        a, b = m.span()
+        near = any(b > x - secrets.REACH and a < y + secrets.REACH for x, y in cues)
+        if near and b - a >= secrets.LEAST and all(b <= x or y <= a for x, _, y in base) and judge.named(m[0]) < secrets.NAMED:
+            if judge.novelty(m[0], t[max(0, a - secrets.AROUND) : a], t[b : b + secrets.AROUND]) >= secrets.NOVEL:
+                out.append((a, 3, b))
+    return out
+
+
+def test_secrets_by_novelty_over_a_corpus(spark):
+    """The dictionary comes from the corpus: its own identifiers are left alone, planted
+    values that no base pattern knows are found, and both as the brute-force version has them."""
+    from tests.llm.fixtures import prose
+
+    r = random.Random(21)
+    signs = string.ascii_letters + string.digits
+    stems = ["".join(r.choices(string.ascii_lowercase, k=r.randint(6, 9))) for _ in range(60)]  # words of no language
+    name = lambda: "_".join(r.choices(stems, k=3))
+    forms = ["{n}:\n  private_key: '{v}'", 'Authorization: Bearer {v}', "pwd={v}", "auth {n} {v}", "AWS_SECRET_ACCESS_KEY={v}", "# {v} is the credential of {n}"]
+    rows, want = [], {}
+    for k in range(400):
+        lines = [f"auth.{name()} = {name()}" for _ in range(6)] + [prose(r, 15)]
+        if k % 4 == 0:
+            v = "".join(r.choices(signs, k=r.randint(20, 44)))
+            want[k] = v
+            lines.insert(r.randrange(6), forms[k // 4 % len(forms)].format(n=name(), v=v))
+        rows.append((k, "\n".join(lines), "en", "a", 1))
+    words = secrets.learned_words(table(spark, rows))
+    assert set(stems) <= set(words) and sum(len(w) + 1 for w in words) <= secrets.DICTIONARY_BYTES
+    judge = secrets.Novelty(words)
+    right = found = 0
+    for x in secrets.scan_secrets(table(spark, rows)).collect():
+        t = rows[x.doc_id][1]
+        base = [(a, k, b) for a, k, b in base_secrets(t)]
+        assert x.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + brute_novel(t, judge)))
+        spans = [t[int(a) : int(b)] for kind, a, b in (s.split(":") for s in x.spans.split(",") if s) if kind == "novel"]
+        found += len(spans)
+        right += want.get(x.doc_id) in spans
+    print(f"recall {right / len(want):.3f}, precision {right / found:.3f}")
+    assert right >= 0.95 * len(want) and right >= 0.95 * found
+    # with no dictionary but the built-in names, the corpus' own identifiers look like secrets
+    bare = secrets.Novelty()
+    assert sum(len(brute_novel(t, bare)) for _, t, *_ in rows) > 2 * found
+
+
+def test_spans_of_a_long_log_take_linear_time():
+    line = "token = abcdef012345abcdef api_key=qqqqqqqqqqqq x.y@z.org 10.0.0.1 and so on\n"
+    took = []
+    for n in (2_000, 8_000):
+        t = line * n
+        began = time.process_time()
+        spans = secrets.base_spans(t)
+        secrets.novel_spans(t, spans)
+        took.append(time.process_time() - began)
+        assert len(spans) >= 2 * n
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     """Contexts of valid cards reveal ill-formed ones; other contexts reveal nothing."""
     r = random.Random(2)
