@@ -218,19 +218,24 @@ def held(m: Members, h: np.ndarray) -> np.ndarray:
     return spots[(at < len(m.sorted)) & (m.sorted[np.minimum(at, len(m.sorted) - 1)] == h[spots])]
 
 
+def _sign_starts(flat: tk.Flat) -> np.ndarray:
+    """The byte at which each code point begins, and the end."""
+    return np.append(np.flatnonzero(flat.data & 0xC0 != 0x80), len(flat.data))
+
+
 def _seed_places(t: Tokens, flat: tk.Flat, texts: list[str], docs) -> tuple[np.ndarray, np.ndarray]:
     """First and last-but-one places of the tokens of the fixed patterns' spans in ``docs``."""
-    i, j = [], []
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = _sign_starts(flat)
     for d in docs:
-        text, lo, hi = texts[d], t.at[d] + 2, t.at[d + 1] - 2
-        for _, a, b in base_spans(text):
-            x = flat.offsets[d] + len(text[:a].encode())
-            y = x + len(text[a:b].encode())
+        spans = np.array([x[1:] for x in base_spans(texts[d])], np.int64)
+        if len(spans):
+            lo, hi = t.at[d] + 2, t.at[d + 1] - 2
+            x, y = starts[np.searchsorted(starts, flat.offsets[d]) + spans.T]
             p, q = lo + np.searchsorted(t.end[lo:hi], x, "right"), lo + np.searchsorted(t.start[lo:hi], y, "left")
-            if p < q:
-                i.append(p)
-                j.append(q)
-    return np.array(i, np.int64), np.array(j, np.int64)
+            i.append(p[p < q])
+            j.append(q[p < q])
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _hit_spans(t: Tokens, flat: tk.Flat, texts: list[str], m: Members) -> tuple[np.ndarray, ...]:
@@ -351,6 +356,7 @@ def _report(patterns):
             counts: list[list[int]] = [[], [], [], [], []]
             sums, spans = [], []
             for flat, texts in _pieces(b):
+                starts = _sign_starts(flat)
                 more: dict[int, list[tuple[int, int]]] = {}
                 if len(m.sorted):
                     t = tokens(flat)
@@ -371,11 +377,10 @@ def _report(patterns):
                             found.append([x, y])
                     counts[4].append(len(found))
                     if found:
-                        raw, lo = text.encode(), int(flat.offsets[d])
-                        found = [[len(raw[: x - lo].decode()), len(raw[: y - lo].decode())] for x, y in found]
+                        found = (np.searchsorted(starts, found) - np.searchsorted(starts, flat.offsets[d])).tolist()
                     spans.append(",".join([joined] * bool(joined) + [f"found:{x}:{y}" for x, y in found]))
             n = [pa.array(c, pa.int64()) for c in counts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n[:4], pa.array(sums, pa.string()), pa.array(spans, pa.string()), n[4]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n[:4], pa.array(sums, pa.string()), pa.array(spans, pa.string()), n[4], pa.array(np.sum(counts, axis=0), pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "n_spans"])
 
     return run
 
@@ -432,15 +437,16 @@ def score_patterns(scored: DataFrame, confident: float, least: int) -> DataFrame
 
 
 def scan_pii(docs: DataFrame, *, turns: int = TURNS, confident: float = CONFIDENT, min_seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) for each row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans) for each row.
 
+    ``n_spans`` counts all spans: where it is above 0 the text holds personal data.
     Spans are ``kind:start:end`` by kind (in the order of KINDS), then start.
     """
     if turns < 1:
         raise ValueError("turns must be at least 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     only, share = texts.select("text"), docs.sparkSession.sparkContext.broadcast
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long, n_spans long"
     seeds = stored(arrow(only, _seed_contexts, _EDGES).distinct())
     contexts, edges, scores, good = seeds, None, None, None
     promoted, seen, read = (np.zeros(0, U64) for _ in range(3))
