@@ -1,10 +1,11 @@
 """Sharding by histogram sort.
 
 Documents are ordered by (hash of the text, hash of the id, hash of the row's number),
-so equal texts lie side by side while any group of them can be divided.  The splitters
-between shards come from exact byte counts (``splitters.find_cuts``); then the narrow
-rows are exchanged once, by cell.  A cell is a part of a shard with a bounded number of
-rows, found by the same search, so that no task sorts a whole shard of a large corpus.
+so equal texts lie side by side while any group of them can be divided; a group that lies at a
+splitter is in both shards.  The splitters between shards come from exact byte counts
+(``splitters.find_cuts``), one for each shard; then the narrow rows are exchanged once,
+by ranges of the key with a bounded number of rows, so that no task sorts a whole shard of a large
+corpus.  Each range numbers its rows; the rows of a shard in the ranges before are added.
 
 Nulls and ties: a null text counts 16 bytes and has the checksum of the empty text; a
 null doc_id is hashed as such; rows that repeat are told apart by their number in the
@@ -14,19 +15,41 @@ stored key table and each gets a place of its own.  An empty table gives no rows
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termloom.llm.splitters import cuts_below, find_cuts
-from termloom.llm.storage import stored
+from termloom.llm.storage import arrow, stored
 
 _KEY = ["k1", "k2", "k3"]
 #: Bytes that each document costs beside its text.
 OVERHEAD = 16
 #: Rows that one task sorts, about.
 CELL_ROWS = 500_000
+#: Ranges whose row counts are sent to all executors, 20 bytes each.
+BROADCAST_RANGES = 1_000_000
+_COLUMNS = ["doc_id", "size", "text_crc32", "shard"]
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers a range's sorted rows within each shard, whose rows are neighbours."""
+    part, shard, n = TaskContext.get().partitionId(), -1, 0
+    for b in batches:
+        s = b.column("shard").to_numpy()
+        if not len(s):
+            continue
+        place = np.arange(len(s))
+        new = np.concatenate(([s[0] != shard], s[1:] != s[:-1]))
+        first = np.maximum.accumulate(np.where(new, place, 0 if new[0] else -n))
+        own = place - first
+        shard, n = int(s[-1]), int(own[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _COLUMNS), pa.array(np.full(len(s), part, np.int32)), pa.array(own)], [*_COLUMNS, "part", "own"])
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, *, tolerance: float = 0.001, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -49,24 +72,23 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, tolerance: float = 0.0
     )
     total, n = keys.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    per = max(1, math.ceil(n / (shards * cell_rows)))
-    cells = shards * per
-    found = find_cuts(keys, _KEY, "size", {(): [(c, total * c / cells) for c in range(1, cells)]} if n else {}, tolerance * total / shards)
+    found = find_cuts(keys, _KEY, "size", {(): [(c, total * c / shards) for c in range(1, shards)]} if n else {}, tolerance * total / shards)
     cuts = sorted((found[x] for x in found), key=lambda c: c.last or ())
-    placed = keys.withColumn("cell", cuts_below(cuts, _KEY).cast("int"))
-    counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
-    offsets, before = [], 0
-    for c in range(cells):
-        before = 0 if c % per == 0 else before
-        offsets.append(before)
-        before += counts.get(c, 0)
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy(*_KEY)).cast("long") - 1
-    return placed.withColumn("rank", rank).select(
+    placed = keys.withColumn("shard", cuts_below(cuts, _KEY).cast("int"))
+    ranges = max(1, math.ceil(n / cell_rows))
+    laid = placed.repartitionByRange(ranges, *_KEY).sortWithinPartitions(*_KEY).select(*_COLUMNS)
+    numbered = stored(arrow(laid, _number, "doc_id long, size long, text_crc32 long, shard int, part int, own long"))
+    # a row for each range, and one more for each shard
+    counts = numbered.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("before"))
+    counts = F.broadcast(counts) if ranges <= BROADCAST_RANGES else counts
+    return numbered.join(counts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p"))).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.floor(F.col("cell") / per).cast("int").alias("shard"),
-        (F.col("rank") + F.element_at(F.array(*map(F.lit, offsets)), F.col("cell") + 1)).cast("long").alias("slot"),
+        "shard",
+        (F.col("before") + F.col("own")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
