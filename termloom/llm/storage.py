@@ -37,15 +37,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    """The path as the file API of a worker sees it (shared mounts only)."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"token files need a mounted folder, not {uri}")
-    return uri
-
-
 def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the workers first."""
     ship(df.sparkSession)

@@ -12,10 +12,11 @@ File layout (little endian)
               u8 null marks [n_docs], u64 first id of each document [n_docs + 1]
     trailer   u64 footer position, u32 bits, u32 BLOCK, u64 n_blocks, u64 n_docs, magic
 
-Documents are split into ranges of ascending (doc_id, text hash) of near equal bytes, each
-written by one task to one file.  Words are encoded once a worker and looked up from then
-on: the tokenizer drops white space before it merges, so a text's ids are those of its
-words, one after the other.
+Texts are exchanged once, by ranges of ascending (doc_id, text hash), each of which is encoded and
+written by one task to one file.  Files are opened through the file system that their folder names
+(local or mounted, hdfs, s3, gs).  Words are encoded once a worker and looked up from then
+on where the tokenizer drops white space before it merges, so that a text's ids are those of its
+words, one after the other; a tokenizer that does not pass the test for that encodes whole texts.
 
 Nulls and ties: a null text is empty and has the end id only; a null doc_id comes first;
 rows that repeat a doc_id are all written, in the order of their text's hash.  An empty
@@ -34,21 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import textkernel as tk
-from termloom.llm.splitters import cuts_below, find_cuts
-from termloom.llm.storage import arrow, local_path, shared_dir, stored
+from termloom.llm.storage import arrow, shared_dir, stored
 
 MAGIC = b"TLPACK01"
 BLOCK = 4096
 #: Text bytes of one file, about.
 FILE_BYTES = 32_000_000
+#: Files of one call at most; a corpus of more than MOST_FILES * FILE_BYTES has larger ones.
+MOST_FILES = 20_000
 #: Words, and pieces of words, that a worker remembers at most before it starts afresh.
 MEMORY_WORDS, MEMORY_PIECES = 700_000, 600_000
 _TRAILER = struct.Struct("<QIIQQ8s")
-_LEAST = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -75,7 +78,8 @@ class Writer:
 
     def __init__(self, path: str, bits: int):
         self.path, self.bits = path, bits
-        self.f = open(path, "wb")
+        system, place = fs.FileSystem.from_uri(path)
+        self.f = system.open_output_stream(place)
         self.f.write(MAGIC)
         self.offsets, self.docs, self.nulls, self.first = [len(MAGIC)], [], [], [0]
         self.held: list[np.ndarray] = []
@@ -105,8 +109,6 @@ class Writer:
         at = self.offsets[-1]
         self.f.write(np.array(self.offsets, "<u8").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.nulls, "u1").tobytes() + np.array(self.first, "<u8").tobytes())
         self.f.write(_TRAILER.pack(at, self.bits, BLOCK, len(self.offsets) - 1, len(self.docs), MAGIC))
-        self.f.flush()
-        os.fsync(self.f.fileno())
         self.f.close()
         return len(self.docs), self.first[-1]
 
@@ -115,8 +117,9 @@ class Reader:
     """Random access to the ids of a file."""
 
     def __init__(self, path: str):
-        self.f = open(path, "rb")
-        self.f.seek(-_TRAILER.size, os.SEEK_END)
+        system, place = fs.FileSystem.from_uri(path)
+        self.f = system.open_input_file(place)
+        self.f.seek(self.f.size() - _TRAILER.size)
         at, self.bits, self.block, blocks, docs, magic = _TRAILER.unpack(self.f.read(_TRAILER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} is no token file")
@@ -131,8 +134,8 @@ class Reader:
         if lo >= hi:
             return np.zeros(0, np.uint32)
         a, b = lo // self.block, (hi - 1) // self.block
-        self.f.seek(self.offsets[a])
-        raw = self.f.read(self.offsets[b + 1] - self.offsets[a])
+        self.f.seek(int(self.offsets[a]))
+        raw = self.f.read(int(self.offsets[b + 1] - self.offsets[a]))
         parts = []
         for k in range(a, b + 1):
             n = min(self.block, int(self.first[-1]) - k * self.block)
@@ -178,6 +181,17 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces, self.piece_ids, self.piece_at = _Numbers(), [], [np.array([0])]
         self._forget()
+        self.by_word = True
+        probes = ["Two  Words 123\tfoo-bar's", "a1b2 É\n\nÇa x.y, don't", " lead and trail ", "UPPER lower 9876 #!", "one\u3000two\xa0three", "e\u0301 a" * 3]
+        (flat,) = tk.chunks(pa.array(probes))
+        self.by_word = np.array_equal(self.encode(flat)[0], self._whole(flat)[0])
+
+    def _whole(self, flat: tk.Flat) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes whole texts."""
+        raw = flat.data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(flat.offsets[:-1].tolist(), flat.offsets[1:].tolist())]
+        ids = [[*e.ids, self.end] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([x for own in ids for x in own], np.uint32), np.cumsum([0, *map(len, ids)])
 
     def _forget(self) -> None:
         """Forgets the words; the pieces only when they too are many."""
@@ -229,6 +243,8 @@ class WordEncoder:
 
     def encode(self, flat: tk.Flat) -> tuple[np.ndarray, np.ndarray]:
         """(ids, range of each document), an end id after each."""
+        if not self.by_word:
+            return self._whole(flat)
         if len(self.words) > MEMORY_WORDS:
             self._forget()
         raw, numbers, find = flat.data.tobytes(), [], self.words.__getitem__
@@ -253,43 +269,24 @@ def _encoder(path: str, end: int) -> WordEncoder:
     return _encoders[path, end]
 
 
-def _encode(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(path, end)
-        kind = np.uint16 if e.vocabulary <= 1 << 16 else np.uint32
-        for b in batches:
-            for flat in tk.chunks(b.column("text")):
-                ids, at = e.encode(flat)
-                raw = ids.astype(kind)
-                width = raw.itemsize
-                lists = pa.Array.from_buffers(pa.binary(), flat.n, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(raw)])
-                own = [b.column(k).slice(flat.first, flat.n) for k in ("cell", "doc_id", "h")]
-                yield pa.RecordBatch.from_arrays([*own, lists], ["cell", "doc_id", "h", "ids"])
-
-    return run
-
+def _write(folder: str, path: str, end: int):
+    """Encodes a range's texts, as they come, into one file."""
 
-def _write(folder: str, bits: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        writer, cell, done = None, None, []
-
-        def close() -> None:
-            docs, ids = writer.close()
-            done.append((cell, writer.path, docs, ids))
-
+        e, writer, cell = _encoder(path, end), None, TaskContext.get().partitionId()
         for b in batches:
-            for c, d, raw in zip(b.column("cell").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
-                if c != cell:
-                    if writer:
-                        close()
+            for flat in tk.chunks(b.column("text")):
+                if writer is None:
+                    system, place = fs.FileSystem.from_uri(folder)
+                    system.create_dir(place, recursive=True)
                     # a name of its own for each attempt: only names that a finished task returned are read
-                    cell, writer = c, Writer(f"{folder}/{c:08d}-{uuid.uuid4().hex}.tok", bits)
-                writer.add(d, np.frombuffer(raw.as_buffer(), np.uint32 if wide else np.uint16))
+                    writer = Writer(f"{folder}/{cell:08d}-{uuid.uuid4().hex}.tok", bits_for(e.vocabulary))
+                ids, at = e.encode(flat)
+                for d, x, y in zip(b.column("doc_id").slice(flat.first, flat.n).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    writer.add(d, ids[x:y])
         if writer:
-            close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["cell", "path", "n_docs", "n_ids"])
+            docs, n = writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([writer.path]), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["cell", "path", "n_docs", "n_ids"])
 
     return run
 
@@ -297,38 +294,26 @@ def _write(folder: str, bits: int, wide: bool):
 def write_tokens(docs: DataFrame, path: str, end: int, folder: str | None = None, *, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes and writes all documents; (cell, path, n_docs, n_ids, start), a row a file.
 
-    ``start`` is the number of ids in the files before.  ``folder`` is a path that every
+    ``start`` is the number of ids in the files before.  ``folder`` is a path or URI that every
     worker can open, by default one in the shared folder.
     """
     spark = docs.sparkSession
-    folder = folder or local_path(shared_dir(spark))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    id_ = F.col("doc_id").cast("long")
-    words = {"d": F.coalesce(id_, F.lit(_LEAST)), "h": F.xxhash64(text), "u": F.xxhash64(F.monotonically_increasing_id())}
-    keys = stored(docs.select(*(v.alias(k) for k, v in words.items()), (F.octet_length(text) + 16).cast("long").alias("size")))
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    cells = max(1, math.ceil(total / file_bytes))
-    found = find_cuts(keys, list(words), "size", {(): [(c, total * c / cells) for c in range(1, cells)]} if total else {}, 0.02 * total / cells)
-    cuts = sorted(found.values(), key=lambda c: c.last or ())
-    # a tie that a cut divides is of equal rows, whose order does not matter
-    rows = docs.select(id_.alias("doc_id"), *(v.alias(k) for k, v in words.items()), "text").withColumn("cell", cuts_below(cuts, list(words)).cast("int"))
-    vocabulary = _vocabulary(path)
-    encoded = arrow(rows.select("cell", "doc_id", "h", "text"), _encode(path, end), "cell int, doc_id long, h long, ids binary")
-    laid = encoded.repartitionById(cells, "cell").sortWithinPartitions("cell", F.col("doc_id").asc_nulls_first(), "h")
-    files = stored(arrow(laid, _write(folder, bits_for(vocabulary), vocabulary > 1 << 16), "cell int, path string, n_docs long, n_ids long"))
+    folder = folder or shared_dir(spark)
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16)).first()[0] or 0
+    cells = min(MOST_FILES, max(1, math.ceil(total / file_bytes)))
+    # equal rows have no order, but their number lets a range end among them
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("u"), text.alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("u")]
+    laid = rows.repartitionByRange(cells, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    files = stored(arrow(laid, _write(folder, path, end), "cell int, path string, n_docs long, n_ids long"))
     starts, at = [], 0
-    for r in files.orderBy("cell").collect():  # a row for each file
+    for r in files.orderBy("cell").collect():  # a row for each file, MOST_FILES at most
         starts.append((r["cell"], r["path"], r["n_docs"], r["n_ids"], at))
         at += r["n_ids"]
     return spark.createDataFrame(starts, "cell int, path string, n_docs long, n_ids long, start long")
 
 
-def _vocabulary(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):

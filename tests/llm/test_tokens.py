@@ -87,5 +87,19 @@ def test_query_matches_direct_encoding(spark, encoder, file_bytes):
         at += r.n_tokens
 
 
+def test_a_tokenizer_that_keeps_white_space_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "\u0120b": 2, "\u0120a": 3, "?": 4}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    e = tokens.WordEncoder(str(tmp_path / "t.json"), 9)
+    assert not e.by_word
+    (flat,) = textkernel.chunks(pa.array(["a b", "", "b a"]))
+    ids, at = e.encode(flat)
+    assert ids.tolist() == [0, 2, 9, 9, 1, 3, 9] and at.tolist() == [0, 3, 4, 7]
+    assert tokens.WordEncoder(PATH, 2).by_word
+
+
 def test_empty_table(spark):
     assert tokens.read_tokens(tokens.write_tokens(spark.createDataFrame([], SCHEMA), PATH, 2)).count() == 0
