@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.storage import stored
+from termloom.llm.storage import release, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e = stored(e)
     loops = e.where("u = v").select("u").distinct()
-    e = e.where("u <> v")
+    before, e = None, e.where("u <> v")
     sign = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,6 +36,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
         e = stored(small.select("s.u", "s.v").where("u <> v").distinct())
+        if before is not None:
+            release(before)
+        before = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from termloom.llm import textkernel as tk
 from termloom.llm.cuckoo import CuckooFilter
 from termloom.llm.quality import line_ranges
-from termloom.llm.storage import arrow, stored
+from termloom.llm.storage import arrow, release, stored
 from termloom.shipping import ship
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -156,6 +156,7 @@ class LineStore:
         added = stored(counted.join(known, _KEY, "left_anti").select(*_KEY, F.col("more").alias("n_docs"), F.col("top").alias("last_doc")))
         refs = stored(self.refs.join(known, _KEY, "left_anti").unionByName(known).unionByName(added))
         filters, shards = self._refiltered(refs, added, None)
+        release(new, probed, known, added)
         # postings are only added to: nothing written before is written again
         return LineStore(self.postings.unionByName(fresh), refs, filters, shards, self.shard_keys)
 
@@ -170,6 +171,7 @@ class LineStore:
         gone = stored(touched.join(counted, _KEY, "left_anti"))
         refs = stored(self.refs.join(touched, _KEY, "left_anti").unionByName(counted))
         filters, shards = self._refiltered(refs, gone.limit(0), gone)
+        release(touched, gone)
         # shards whose keys did not change keep their filters
         filters = filters.unionByName(self.filters.join(filters.select("shard"), "shard", "left_anti")) if shards == self.shards else filters
         return LineStore(postings, refs, stored(filters), shards, self.shard_keys)

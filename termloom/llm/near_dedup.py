@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import textkernel as tk
 from termloom.llm.components import components
-from termloom.llm.storage import arrow, stored
+from termloom.llm.storage import arrow, release, stored
 
 U64 = np.uint64
 #: Bands x rows.  At similarity 0.75 a pair misses every band with probability
@@ -43,7 +43,7 @@ U64 = np.uint64
 BANDS, ROWS = 40, 5
 #: Ids below this number are sent to all executors (8 bytes each); above it the texts
 #: are joined by a shuffle instead.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 #: Counters of elements (8 bytes each, sent to all executors) that order the elements of sets.
 ORDER_SLOTS = 1 << 20
 
@@ -139,7 +139,9 @@ def _sets_of(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     ids = stored(ids.distinct())
     narrow = F.broadcast(ids.select("id").distinct()) if ids.count() <= BROADCAST_IDS else ids.select("id").distinct()
     wanted = texts.join(narrow, texts["doc_id"] == narrow["id"], "left_semi")
-    return stored(arrow(wanted, _full_sets(size), "id long, f long, elements array<long>").dropDuplicates(["id", "f"]))
+    out = stored(arrow(wanted, _full_sets(size), "id long, f long, elements array<long>").dropDuplicates(["id", "f"]))
+    release(ids)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,16 +223,21 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 2, percent: int = 7
     stars = members.where(~F.col("first") & _could_link("n", "h.n", percent)).select(F.col("h.id").alias("a"), F.col("h.f").alias("fa"), F.col("id").alias("b"), F.col("f").alias("fb"))
     stars = stored(stars.distinct())
     ends = stars.select(F.col("a").alias("id"), F.col("fa").alias("f")).unionAll(stars.select("b", "fb"))
-    links = stored(_confirmed(stars, _sets_of(ends, texts, shingle_words), percent))
+    sets = _sets_of(ends, texts, shingle_words)
+    links = stored(_confirmed(stars, sets, percent))
+    release(stars, sets)
     parts = stored(components(links))
+    release(links)
 
     # 3. buckets that still span components: pairs between these, not within them
     placed = members.where("m > 2").join(parts, "id", "left").select("bucket", "id", "f", "first", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
     rest = stored(placed.join(mixed, "bucket", "left_semi").where("not first").select("id", "f", "part").distinct())
+    release(members)
     sets = _sets_of(rest.select("id", "f"), texts, shingle_words)
     pairs = stored(prefix_pairs(sets, rest.select("id", "part").distinct(), percent))
-    more = _confirmed(pairs, sets, percent)
+    more = stored(_confirmed(pairs, sets, percent))
+    release(rest, sets, pairs)
 
     # rows that repeat a doc_id with other texts are one document
     twice = filled.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2")).alias("x"), F.max(F.struct("fp1", "fp2")).alias("y")).where("x <> y").select("doc_id")

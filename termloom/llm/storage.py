@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, as in
-local tests, one is made under the session's own temporary folder; on a cluster
-the setting must name shared storage.
+local tests, a temporary folder of this machine is used; a master other than local
+has no such default.  ``release`` deletes tables that nothing reads any more; what a
+result still reads lies there until the owner of the folder clears it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new, unused path in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -34,7 +36,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored``; only for those that no result reads any more."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
