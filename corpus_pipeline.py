@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import decontamination, mixing, near_dedup, quality, sharding
-from termloom.llm.storage import stored
+from termloom.llm.storage import release, stored
 
 ORACLE_SQL = None
 
@@ -53,7 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            release(before)  # nothing that a stage wrote is read after the next one
     return docs
