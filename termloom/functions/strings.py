@@ -138,7 +138,7 @@ def clean_text(s: Column, kind: str = "hard") -> Column:
         return s
     if kind not in ("soft", "hard"):
         raise ValueError(f"unknown cleaning {kind}")
-    s = F.regexp_replace(s, r"([A-Za-z()]+ *)\n( *[A-Za-z()-]+)", "$1 $2")
+    s = F.regexp_replace(s, r"(?<![A-Za-z()])([A-Za-z()]++ *+)\n( *[A-Za-z()-]+)", "$1 $2")  # a word is tried from its first sign only
     s = F.regexp_replace(s, r"^\s+|\s+$", "")
     for old, new in (("\r", "\n"), ("&#13", "\n"), ("\t", " ")):
         s = F.replace(s, F.lit(old), F.lit(new))

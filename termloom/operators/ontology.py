@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import graph, profiles, similarity
 from termloom.sources.obo import read_obo
+from termloom.sources.tables import read_ontology_json
 from termloom.storage import stored
 
 
@@ -66,6 +67,15 @@ class Ontology:
         rows = stored(rows)
         return Ontology(rows, stored(edge.select("child", "parent").distinct()), spark.createDataFrame([], "alt_id string, main_id string"), spark.createDataFrame([], "term_id string"), rows)
 
+    @staticmethod
+    def from_json(spark: SparkSession, path: str) -> Ontology:
+        """From a JSON dump of an ontology object; what it derives is derived anew."""
+        got = read_ontology_json(spark, path)
+        out = Ontology.from_terms(got["term"])
+        # the dump's own alternatives count beside those of the stanzas
+        more = got["alt"].join(out.alt.select("alt_id"), "alt_id", "left_anti")
+        return replace(out, alt=stored(out.alt.select("alt_id", "main_id").unionByName(more)))
+
     @cached_property
     def closure(self) -> DataFrame:
         return stored(graph.closure(self.edge, self.term))

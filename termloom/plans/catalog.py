@@ -8,6 +8,7 @@ of the part classes that their customers order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several queries use, stored when first asked for."""
+        if name not in self._kept:
+            self._kept[name] = stored(make())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -76,6 +84,19 @@ class Catalog:
         return stored(x.join(y, ["l_orderkey", "n"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+_known: dict[tuple[str, str], Catalog] = {}
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog of a folder, one for all queries of a session: its ontology, closure and
+    profiles are derived once.  The folder's tables must not change in the meantime."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _known:
+        _known.clear()
+        _known[key] = Catalog(spark, sf_dir)
+    return _known[key]
+
+
 PART = """named as (select p_partkey, 'B:' || p_brand as b, 'T:' || p_type as t, 'Z:' || p_size as z, 'C:' || p_brand || '|' || p_size as c, 'P:' || p_partkey as p from part),
 edge as (select b as child, 'ROOT' as parent from named union select t, 'ROOT' from named union select z, 'ROOT' from named
          union select c, b from named union select c, z from named union select p, c from named union select p, t from named),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions import splitter, strings
 from termloom.operators import cluster, compare, graph, items, profiles, report, search, similarity, suggest, textindex
-from termloom.plans.catalog import MICA, NATION, PAIRS, Catalog, sql
+from termloom.plans.catalog import MICA, NATION, PAIRS, Catalog, catalog, sql
+from termloom.plans.files import FILES, Files
 from termloom.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,7 @@ def _query(name: str, oracle: str | None = None):
     """Registers a function of a catalog under a name, with its SQL."""
 
     def add(f: Callable[[Catalog], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Catalog(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(catalog(spark, sf_dir))
         if oracle is not None:
             ORACLE_SQL[name] = oracle
         return f
@@ -161,7 +162,7 @@ def _(c: Catalog) -> DataFrame:
 
 
 def _mica(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    ic = stored(c.ontology.ic("resnik"))
+    ic = c.kept("ic", lambda: c.ontology.ic("resnik"))
     return similarity.micas(c.follows, c.ontology.reflexive, ic), ic
 
 
@@ -215,7 +216,7 @@ def _(c: Catalog) -> DataFrame:
     sql(_SHARED, body="select profile_id, arg_max(ancestor, (ic_resnik, ancestor)) as mica, round(max(ic_resnik), 6) + 0.0 as mica_ic from hit join nt using (profile_id) join ic on ic.term_id = ancestor where c / n::double >= 0.5 group by profile_id"),
 )
 def _(c: Catalog) -> DataFrame:
-    ic = stored(c.ontology.ic("resnik"))
+    ic = c.kept("ic", lambda: c.ontology.ic("resnik"))
     return similarity.profile_mica(c.orders, c.ontology.closure, ic, cutoff=0.5).select("profile_id", "mica", _r("mica_ic"))
 
 
@@ -230,7 +231,7 @@ size as (select profile_id, count(*) as n from nat group by 1)"""
 
 
 def _nation_sims(c: Catalog) -> DataFrame:
-    return stored(c.ontology.term_similarities(c.nations, sim_type="lin"))
+    return c.kept("nation_sims", lambda: c.ontology.term_similarities(c.nations, sim_type="lin"))
 
 
 @_query(
@@ -272,7 +273,7 @@ def _(c: Catalog) -> DataFrame:
     prof = c.lines.select(F.col("l_orderkey").cast("string").alias("profile_id"), F.col("l_linenumber").alias("pos"), F.col("c").alias("term_id"))
     x, y = prof.select("profile_id", F.col("pos").alias("i"), F.col("term_id").alias("x")), prof.select("profile_id", F.col("pos").alias("j"), F.col("term_id").alias("y"))
     pairs = stored(x.join(y, "profile_id").where("i < j").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    ic = stored(c.ontology.ic("resnik"))
+    ic = c.kept("ic", lambda: c.ontology.ic("resnik"))
     sims = similarity.similarities(similarity.micas(pairs, c.ontology.reflexive, ic), ic, "lin")
     return compare.self_similarities(prof, sims).select("profile_id", _r("sim"))
 
@@ -288,7 +289,7 @@ def _brand_profiles(c: Catalog) -> DataFrame:
     li = c.table("lineitem").select("l_suppkey", "l_partkey")
     rows = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c.named, F.col("l_partkey") == F.col("p_partkey"))
     n = rows.select("s_nationkey", "c").distinct()
-    return stored(n.select(F.concat(F.lit("S:"), F.col("s_nationkey").cast("string")).alias("profile_id"), F.dense_rank().over(_by("s_nationkey", "c")).alias("pos"), F.col("c").alias("term_id")))
+    return c.kept("brand_profiles", lambda: n.select(F.concat(F.lit("S:"), F.col("s_nationkey").cast("string")).alias("profile_id"), F.dense_rank().over(_by("s_nationkey", "c")).alias("pos"), F.col("c").alias("term_id")))
 
 
 def _by(part: str, order: str):
@@ -298,7 +299,7 @@ def _by(part: str, order: str):
 
 
 def _brand_sims(c: Catalog, prof: DataFrame) -> DataFrame:
-    return stored(c.ontology.term_similarities(prof, sim_type="lin"))
+    return c.kept("brand_sims", lambda: c.ontology.term_similarities(prof, sim_type="lin"))
 
 
 @_query("greedy_term_matches")
@@ -625,6 +626,23 @@ def _(c: Catalog) -> DataFrame:
     return search.search(kw, tx, k=3)
 
 
+# files -------------------------------------------------------------------------------
+
+
+def _files(c: Catalog) -> Files:
+    if not hasattr(c, "files"):
+        c.files = Files(c)
+    return c.files
+
+
+def _file_query(make: Callable[[Files], DataFrame]) -> Callable[[Catalog], DataFrame]:
+    return lambda c: make(_files(c))
+
+
+for _name, (_make, _oracle) in FILES.items():
+    _query(_name, _oracle)(_file_query(_make))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-match averages of all nations' profiles."""
     return QUERIES["profile_bma_lin"](spark, sf_dir)
