@@ -86,7 +86,7 @@ def levels(term: DataFrame, edge: DataFrame, closure_: DataFrame, shortest: bool
         e = stored(edge.select("child", "parent").distinct())
         n = term.count()
         front = found = stored(top.withColumn("level", F.lit(1)))
-        for depth in range(2, n + 2):
+        for depth in range(2, n + 2):  # deeper than there are terms: the rest lies on or below a cycle
             front = stored(front.join(e, F.col("term_id") == F.col("parent")).select(F.col("child").alias("term_id")).distinct().withColumn("level", F.lit(depth)))
             if front.isEmpty():
                 break
@@ -108,9 +108,26 @@ def paths(term: DataFrame, edge: DataFrame, closure_: DataFrame) -> DataFrame:
     raise RuntimeError("the graph is too deep for its paths to be listed")
 
 
-def path_stats(paths_: DataFrame) -> DataFrame:
-    """(term_id, total_paths, largest_path, shortest_path), lengths in nodes."""
-    return paths_.groupBy("term_id").agg(F.count("*").alias("total_paths"), F.max(F.size("path")).alias("largest_path"), F.min(F.size("path")).alias("shortest_path"))
+def path_stats(term: DataFrame, edge: DataFrame, closure_: DataFrame) -> DataFrame:
+    """(term_id, total_paths, largest_path, shortest_path), lengths in nodes.
+
+    Paths are counted by length, level by level from the roots, and never listed: rows are
+    terms by lengths however many paths there are.  A cycle below a root raises.
+    """
+    top = roots(term.select("term_id"), closure_)
+    loops = closure_.join(closure_.select(F.col("ancestor").alias("term_id"), F.col("term_id").alias("ancestor")), ["term_id", "ancestor"], "left_semi").select("term_id")
+    below = closure_.join(top.select(F.col("term_id").alias("ancestor")), "ancestor", "left_semi").select("term_id")
+    if not loops.join(below, "term_id", "left_semi").isEmpty():
+        raise ValueError("paths below a root run in a cycle")
+    e = stored(edge.select("child", "parent").distinct())
+    front = found = stored(top.select("term_id", F.lit(1).alias("length"), F.lit(1).cast("decimal(38,0)").alias("n")))
+    for length in count(2):
+        step = front.join(e, F.col("term_id") == F.col("parent")).groupBy(F.col("child").alias("term_id")).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+        front = stored(step.select("term_id", F.lit(length).alias("length"), "n"))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.groupBy("term_id").agg(F.sum("n").cast("long").alias("total_paths"), F.max("length").alias("largest_path"), F.min("length").alias("shortest_path"))
 
 
 def parental_path(paths_: DataFrame, which: str = "shortest_path", level: int = 0) -> DataFrame:

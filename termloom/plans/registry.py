@@ -1,7 +1,7 @@
 """Queries of the engine over the test tables, and their SQL.
 
 Every query reads its whole tables.  Those without SQL are iterative or sequential; their
-operators are tested on small fixtures, but for the plot places, which have no test yet.
+operators are tested on small fixtures.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ _PATHS = "ways as (select 'ROOT' as term_id, 1 as n, 'ROOT' as way union all sel
 
 @_query("path_stats", sql(_PATHS, body="select term_id, count(*) as total_paths, max(n)::int as largest_path, min(n)::int as shortest_path from ways group by term_id"))
 def _(c: Catalog) -> DataFrame:
-    return graph.path_stats(c.ontology.paths)
+    o = c.ontology
+    return graph.path_stats(o.term, o.edge, o.closure)
 
 
 @_query("parental_paths", sql(_PATHS, body="select term_id, array_to_string(list_slice(string_split(arg_min(way, (n, way)), '>'), 2, 99), '>') as path from ways group by term_id"))
@@ -309,12 +310,21 @@ def _(c: Catalog) -> DataFrame:
     return compare.term_matches(ref, prof, _brand_sims(c, prof))
 
 
-@_query("negative_terms")
+_SELL = """sell as (select distinct 'S:' || s_nationkey as profile_id, c as term_id from lineitem join supplier on l_suppkey = s_suppkey join named on l_partkey = p_partkey),
+ref as (select distinct term_id from sell where profile_id = (select min(profile_id) from sell)),
+pairs as (select distinct least(x.term_id, y.term_id) as a, greatest(x.term_id, y.term_id) as b from (select distinct term_id from sell) x, ref y)"""
+_NEGATIVE = """sims as (select a, b, case when a = b then 1.0 else 2 * mica_ic / nullif(ica + icb, 0) end as sim from scored),
+both_ways as (select * from sims union all select b, a, sim from sims where a <> b),
+best as (select a as term_id, max(sim) as best from both_ways where b in (from ref) group by a),
+low as (select term_id, count(*) as count from sell left join best using (term_id) where coalesce(best, 0) <= 0.95 group by term_id order by count desc, term_id desc limit 20)"""
+
+
+@_query("negative_terms", sql(_SELL, MICA, _NEGATIVE, body="select low.term_id, profile_id as candidate, count from low join sell using (term_id)"))
 def _(c: Catalog) -> DataFrame:
     prof = _brand_profiles(c)
     ref = prof.where(F.col("profile_id") == prof.agg(F.min("profile_id")).first()[0])
     sims = stored(compare.candidate_term_sims(ref, prof, _brand_sims(c, prof)))
-    return compare.negative_matrix(sims, compare.negative_terms(sims, 0.6, 20))
+    return compare.negative_matrix(sims, compare.negative_terms(sims, 0.95, 20))
 
 
 @_query("ward_clusters")
@@ -324,7 +334,15 @@ def _(c: Catalog) -> DataFrame:
     return groups
 
 
-@_query("items_to_parents")
+_RISEN = """it as (select distinct p as term_id, l_suppkey::varchar as item_id from lineitem join named on l_partkey = p_partkey),
+kin2 as (select c.ancestor as t, c.term_id from closure c join lev on lev.term_id = c.ancestor and level = 2 where c.term_id in (select term_id from it)),
+up2 as (select t as term_id, item_id from kin2 join it using (term_id) where t in (select t from kin2 group by t having count(*) >= 3) group by t, item_id having count(*) >= 3),
+it2 as (select * from it union select * from up2),
+kin1 as (select c.ancestor as t, c.term_id from closure c join lev on lev.term_id = c.ancestor and level = 1 where c.term_id in (select term_id from it2)),
+up1 as (select t as term_id, item_id from kin1 join it2 using (term_id) where t in (select t from kin1 group by t having count(*) >= 3) group by t, item_id having count(*) >= 3)"""
+
+
+@_query("items_to_parents", sql(_RISEN, body="select * from it2 union select * from up1"))
 def _(c: Catalog) -> DataFrame:
     item = c.table("lineitem").select("l_partkey", "l_suppkey").distinct().join(c.named.select("p_partkey", "p"), F.col("l_partkey") == F.col("p_partkey"))
     item = item.select(F.col("p").alias("term_id"), F.col("l_suppkey").cast("string").alias("item_id"))
@@ -482,9 +500,9 @@ def _(c: Catalog) -> DataFrame:
     return profiles.translated(prof, names).select("profile_id", F.array_join("names", ";").alias("names"))
 
 
-@_query("keyword_search", "select p_partkey as part from part where regexp_matches(lower(p_name), 'ring|g.*o')")
+@_query("keyword_search", "select 'PT:' || p_partkey as term_id from part where not (p_partkey % 11 = 0 and p_partkey > 0) and regexp_matches(lower(p_name), 'ring|g.*o') union all select distinct 'PT:' || p_brand from part where regexp_matches(lower('brand ' || p_brand), 'ring|g.*o')")
 def _(c: Catalog) -> DataFrame:
-    return c.table("part").where(F.col("p_name").rlike("(?i)ring|g.*o")).select(F.col("p_partkey").alias("part"))
+    return _files(c).ontology.search("ring|g.*o", ("name",))
 
 
 @_query("ic_report", sql(_OBS, body="select profile_id, round(avg(ic_resnik), 6) + 0.0 as ic_resnik, round(avg(-log10(f / (select max(f) from obs))), 6) + 0.0 as ic_resnik_observed from prof join ic using (term_id) join obs using (term_id) group by profile_id"))
@@ -493,14 +511,27 @@ def _(c: Catalog) -> DataFrame:
     return report.ic_pairs(c.orders, ic, "profile").select("profile_id", _r("ic_resnik"), _r("ic_resnik_observed"))
 
 
-@_query("ontoplot_places")
+_PLACES = """down as (select term_id, min(list_reverse(string_split(way, '>'))) as way from ways group by term_id),
+fr as (select term_id, count(*) / (select count(distinct profile_id) from prof)::double as freq from (select distinct profile_id, term_id from prof union select profile_id, ancestor from prof join closure using (term_id)) group by term_id),
+place as (select term_id, level, row_number() over (partition by level order by way) as k, count(*) over (partition by level) as n, coalesce(freq, 0) as f from down join lev using (term_id) left join fr using (term_id))"""
+
+
+@_query(
+    "ontoplot_places",
+    sql(
+        _PATHS,
+        _PLACES,
+        body="""select term_id, level, round((k - 1) * 2 * pi() / n, 6) + 0.0 as angle, level::double as radius, round(cbrt(f), 6) as size,
+        case when f < 0.2 then 0.2 when f < 0.4 then 0.3 when f < 0.6 then 0.5 when f < 0.8 then 0.7 when f < 1 then 0.9 else 1.0 end::double as alpha from place""",
+    ),
+)
 def _(c: Catalog) -> DataFrame:
     o = c.ontology
     freq = profiles.term_frequencies(c.orders, o.closure, distinct=True)
-    return report.ontoplot(o.paths, o.level, freq, "ROOT")
+    return report.ontoplot(o.paths, o.level, freq, "ROOT").select("term_id", "level", _r("angle"), "radius", _r("size"), "alpha")
 
 
-_REL = """rel as (select b as term1, 'N:' || s_nationkey as term2, count(*)::double as value from lineitem join named on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where l_returnflag = 'R' group by 1, 2),
+_REL = """rel as (select b as term1, 'N:' || s_nationkey as term2, count(*)::double as value from lineitem join named on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by 1, 2),
 q as (select b as term_id from named group by b having count(*) > (select count(*) / count(distinct b) from named)),
 related as (select term1 as query, term2 as target, value from rel where term1 in (from q)),
 hits as (select target, count(*) as hits from related group by 1)"""
@@ -508,7 +539,7 @@ hits as (select target, count(*) as hits from related group by 1)"""
 
 def _relations(c: Catalog) -> tuple[DataFrame, DataFrame]:
     s = c.table("supplier").select("s_suppkey", "s_nationkey")
-    li = c.table("lineitem").where("l_returnflag = 'R'").select("l_suppkey", "l_partkey")
+    li = c.table("lineitem").select("l_suppkey", "l_partkey")
     rows = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c.named, F.col("l_partkey") == F.col("p_partkey"))
     rel = rows.groupBy(F.col("b").alias("term1"), F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("term2")).agg(F.count("*").cast("double").alias("value"))
     n = c.named.groupBy("b").agg(F.count("*").alias("n"))
@@ -571,12 +602,13 @@ def _(c: Catalog) -> DataFrame:
 
 @_query(
     "blacklisted_pages",
-    """select page_id, case when contains(lower(url), 'shop') then 'shop' when contains(lower(url), 'news') then 'news' when contains(lower(html), 'shop') then 'shop' when contains(lower(html), 'news') then 'news' end as word from pages""",
+    """select page_id, case when contains(lower(url), 'shop') or contains(lower(html), 'shop') then 'shop' when contains(lower(url), 'news') or contains(lower(html), 'news') then 'news' end as word,
+    case when contains(lower(url), 'shop') then 'title' when contains(lower(html), 'shop') then 'article_category' when contains(lower(url), 'news') then 'title' when contains(lower(html), 'news') then 'article_category' end as field from pages""",
 )
 def _(c: Catalog) -> DataFrame:
     pages = c.table("pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("article_category"))
-    first = lambda col: textindex.blacklist_hit(["shop", "news"], title=col, category=col)["word"]
-    return pages.select("page_id", F.coalesce(first("title"), first("article_category")).alias("word"))
+    hit = textindex.blacklist_hit(["shop", " ", "news"])
+    return pages.select("page_id", hit["word"].alias("word"), hit["field"].alias("field"))
 
 
 @_query("document_sentences")
