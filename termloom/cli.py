@@ -7,6 +7,7 @@ match, index-corpus, remote.
 from __future__ import annotations
 
 import argparse
+import os
 import re
 import sys
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import strings
-from termloom.operators import cluster, compare, graph, profiles, report, search, suggest, textindex
+from termloom.operators import cluster, compare, graph, items, profiles, report, search, suggest, textindex
 from termloom.operators.ontology import Ontology
 from termloom.session import session
 from termloom.sources import sinks, tables, text
@@ -50,7 +51,7 @@ def keyword_fields(s: str) -> tuple[str, list[str]]:
 
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="termloom")
-    top.add_argument("--master", default="local[*]")
+    top.add_argument("--master")
     sub = top.add_subparsers(dest="program", required=True)
 
     def program(name: str, *flags: tuple) -> None:
@@ -63,14 +64,14 @@ def _parser() -> argparse.ArgumentParser:
     f = lambda d: dict(type=float, default=d)
     program(
         "profiles",
-        ("-i --input_file", s), ("-o --output_file", s), ("-O --ontology_file", dict(required=True)), ("-p --processes", i(2)), ("-d --download", s), ("-I --IC", s), ("-T --term_filter", s), ("-t --translate", s),
+        ("-i --input_file", s), ("-o --output_file", s), ("-O --ontology_file", dict(required=True)), ("-p --processes", i(0)), ("-d --download", s), ("-I --IC", s), ("-T --term_filter", s), ("-t --translate", s),
         ("-s --similarity_method", s), ("--reference_profiles", s), ("-c --clean_profiles", on), ("-r --removed_path", dict(default="rejected_profs")), ("-u --untranslated_path", s), ("-k --keyword", s),
-        ("-e --expand_profiles", s), ("-U --unwanted_terms", dict(type=comma_list, default=[])), ("-S --separator", dict(default=";")), ("-E --external_separator", s), ("-n --statistics", on), ("-l --list_translate", s),
+        ("-e --expand_profiles", dict(default=None, choices=["parental", "propagate"])), ("-U --unwanted_terms", dict(type=comma_list, default=[])), ("-S --separator", dict(default=";")), ("-E --external_separator", s), ("-n --statistics", on), ("-l --list_translate", s),
         ("-F --filter_list", dict(type=lists, default=None)), ("-q --query_ncbi", s), ("-f --subject_column", i(0)), ("-a --annotations_column", i(1)), ("--list_term_attributes", on), ("-R --root", s),
         ("--xref_sense", dict(action="store_const", const="byTerm", default="byValue")), ("-C --childs", dict(type=children, default=None)), ("--keyword_search", dict(type=keyword_fields, default=None)),
         ("--translate_keyword_search", on), ("--list", dict(action="store_true", dest="simple_list")), ("--2cols", dict(action="store_true", dest="two_cols")), ("--out2cols", on), ("--profiles_self_similarities", s),
         ("--profiles_self_similarities_output", dict(default="profiles_self_similarities.txt")), ("--output_report", s), ("--root_term", s), ("--ref_term", s), ("--similarity_cluster_plot", s), ("--cl_size_factor", f(1.0)),
-        ("--ontoplot_mode", dict(default="static")), ("--skip_count_parentals", dict(action="store_false", dest="count_parentals")), ("--onto_min_freq", f(0.005)), ("--load_hard_cleaned_profiles", on),
+        ("--ontoplot_mode", dict(default="static", choices=["static", "dynamic"])), ("--skip_count_parentals", dict(action="store_false", dest="count_parentals")), ("--onto_min_freq", f(0.005)), ("--load_hard_cleaned_profiles", on),
         ("--return_all_terms_with_user_defined_attributes", dict(type=comma_list, default=None)),
     )
     program(
@@ -88,23 +89,23 @@ def _parser() -> argparse.ArgumentParser:
         "suggest",
         ("-q --query_terms", dict(required=True)), ("-O --ontology_file", dict(required=True)), ("-r --term_relations", dict(required=True)), ("-o --output_file", dict(required=True)), ("-m --max_targets", i(0)),
         ("-t --translate", dict(default="c", choices=["c", "n", "cn", "nc"])), ("-b --black_list", s), ("-d --deleted_terms", s), ("-f --filter_parental_targets", on), ("-c --clean_query_terms", on),
-        ("-T --transform_rel_values", dict(default="no", choices=["no", "exp", "log10"])), ("--output_report", s), ("--heatmap_color_preset", dict(default="1")),
+        ("-T --transform_rel_values", dict(default="no", choices=["no", "exp", "log10"])), ("--output_report", s), ("--heatmap_color_preset", dict(default="1", choices=["1"])),
     )
     program(
         "match",
         ("-q --query", dict(required=True)), ("-c --corpus", dict(required=True)), ("-o --output_file", dict(required=True)), ("-m --model_name", s), ("-p --model_path", s), ("-Q --query_embedded", s), ("-C --corpus_embedded", s),
-        ("-k --top_k", i(20)), ("-t --threshold", f(0.0)), ("-v --verbose", on), ("-g --gpu_device", dict(type=comma_list, default=[])), ("-b --batch_size", i(32)), ("--use_gpu_for_sim_calculation", on), ("-s --split", on),
-        ("--order", dict(default="corpus-query")), ("--chunk_size", i(10000)), ("--print_relevant_pairs", on),
+        ("-k --top_k", i(20)), ("-t --threshold", f(0.0)), ("-v --verbose", on), ("-g --gpu_device", dict(type=comma_list, default=[])), ("-b --batch_size", i(0)), ("--use_gpu_for_sim_calculation", on), ("-s --split", on),
+        ("--order", dict(default="corpus-query")), ("--chunk_size", i(0)), ("--print_relevant_pairs", on),
     )
     program(
         "match-report",
         ("-i --input_file", dict(required=True)), ("-O --ontology", dict(required=True)), ("-r --ref_profile", dict(required=True)), ("-o --output_file", dict(default="report.html")), ("-d --id_col", i(0)),
         ("-p --profiles_col", i(1)), ("-S --separator", dict(default="|")), ("-L --matrix_limits", dict(type=comma_list, default=["20", "40"])), ("-N --neg_matrix_limits", dict(type=comma_list, default=["20", "40"])),
-        ("--hard_check", dict(action="store_false")), ("--pubmed_ids_and_titles", s), ("--sim", s), ("--use_pickle", on), ("--get_full_sim_sorted_list", on),
+        ("--hard_check", dict(action="store_false")), ("--pubmed_ids_and_titles", s), ("--sim", dict(default="lin")), ("--use_pickle", on), ("--get_full_sim_sorted_list", on),
     )
     program(
         "index-corpus",
-        ("-i --input", dict(required=True)), ("-o --output", dict(required=True)), ("-k --items_per_file", i(0)), ("-t --tag", dict(default="file_")), ("-c --n_cpus", i(1)), ("-z --chunk_size", i(0)),
+        ("-i --input", dict(required=True)), ("-o --output", dict(required=True)), ("-k --items_per_file", i(0)), ("-t --tag", s), ("-c --n_cpus", i(0)), ("-z --chunk_size", i(0)),
         ("-b --text_balancing_size", i(0)), ("-d --debugging_mode", on), ("-s --split", on), ("--split_output_files", on), ("-p --parse", dict(default="Basic", choices=["PubmedPaper", "PubmedAbstract", "Basic"])),
         ("-e --equivalences_file", s), ("-f --filter_by_blacklist", s), ("--blacklisted_mode", dict(default="partial")), ("--clean_type", dict(default="hard")), ("--split_type", dict(default="classic")),
     )
@@ -129,15 +130,39 @@ def _offline(*_) -> None:
     raise SystemExit("remote services are not reachable from this program; read local files instead")
 
 
+def _ontology(spark, name: str, black_list: list[str] | None = None) -> Ontology:
+    """The ontology of a file, or of a name that the folder in TERMLOOM_ONTOLOGIES holds as
+    ``name.obo``, ``name.obo.gz`` or ``name.json``."""
+    folder = os.environ.get("TERMLOOM_ONTOLOGIES")
+    known = [f"{folder}/{name}{end}" for end in (".obo", ".obo.gz", ".json")] if folder else []
+    path = name if "://" in name or os.path.exists(name) else next((x for x in known if os.path.exists(x)), None)
+    if path is None:
+        raise SystemExit(f"{name} is neither a file nor an ontology in TERMLOOM_ONTOLOGIES")
+    return Ontology.from_json(spark, path) if path.endswith(".json") else Ontology.from_obo(spark, path, black_list)
+
+
+def _plot(onto: Ontology, prof: DataFrame, o) -> DataFrame:
+    """The places of the ontology's plot: below the wanted root, at the wanted frequency; in the
+    dynamic mode with the names to show."""
+    roots = report.default_root((onto.header.select("ont_name").first() or [""])[0] or "") if onto.header is not None else None
+    root = o.root_term or (roots[0] if roots else graph.roots(onto.term, onto.closure).select("term_id").orderBy("term_id").first()[0])
+    freq = profiles.term_frequencies(prof, onto.closure if o.count_parentals else None, min_freq=o.onto_min_freq, distinct=True)
+    places = report.ontoplot(onto.paths, onto.level, freq, root).withColumn("guide", F.col("term_id") == F.lit(o.ref_term or (roots[1] if roots else root)))
+    return places.join(onto.term.select("term_id", "name"), "term_id") if o.ontoplot_mode == "dynamic" else places
+
+
 def profiles_program(spark, o) -> None:
     if o.download or o.query_ncbi:
         _offline()
-    onto = Ontology.from_obo(spark, o.ontology_file)
+    onto = _ontology(spark, o.ontology_file)
     if o.root:
         onto = onto.reroot(o.root)
     prof = None
     if o.input_file and not o.list_translate and not o.filter_list:
-        prof = tables.read_profiles(spark, o.input_file, o.subject_column, o.annotations_column, o.separator, o.two_cols)
+        if o.simple_list:  # each line is a term of its own
+            prof = tables.read_list(spark, o.input_file).select(F.col("pos").cast("string").alias("profile_id"), F.lit(0).alias("pos"), F.col("text").alias("term_id"))
+        else:
+            prof = tables.read_profiles(spark, o.input_file, o.subject_column, o.annotations_column, o.separator, o.two_cols)
         if o.load_hard_cleaned_profiles:
             prof = profiles.clean_hard(prof, onto.term, onto.alt, onto.closure, o.term_filter)
     if o.list_translate:
@@ -157,7 +182,12 @@ def profiles_program(spark, o) -> None:
             _tsv(bad.select("profile_id", "term_id"), o.removed_path)
             prof = profiles.clean_hard(good, onto.term, onto.alt, onto.closure, o.term_filter)
         if o.expand_profiles:
-            wide = profiles.expand_with_parents(prof, onto.closure, o.unwanted_terms)
+            if o.expand_profiles == "parental":
+                wide = profiles.expand_with_parents(prof, onto.closure, o.unwanted_terms)
+            else:
+                risen = items.expand_to_parents(prof.select("term_id", F.col("profile_id").alias("item_id")), onto.closure, onto.level, 1)
+                wide = risen.select(F.col("item_id").alias("profile_id"), "term_id")
+                wide = wide.where(~F.col("term_id").isin(*o.unwanted_terms)) if o.unwanted_terms else wide
             prof = profiles.from_pairs(wide, "profile_id", "term_id", "term_id")
         if o.IC:
             _tsv(profiles.mean_ics(prof, onto.ic("resnik", "resnik_observed", profile=prof), ["ic_resnik", "ic_resnik_observed"]), o.IC)
@@ -177,10 +207,10 @@ def profiles_program(spark, o) -> None:
         if o.translate == "names":
             _tsv(profiles.translated(prof, onto.term).select("profile_id", F.array_join("names", o.separator)), o.output_file)
         elif o.output_file and not o.similarity_method:
-            sinks.write_profiles(prof, o.output_file, o.separator, o.out2cols)
+            sinks.write_profiles(prof, o.output_file, o.external_separator or o.separator, o.out2cols)
         if o.output_report:
             freq = profiles.term_frequencies(prof, onto.closure if o.count_parentals else None)
-            sinks.write_report(o.output_report, "Profiles", {"levels": profiles.level_distribution(prof, onto.level), "terms": report.frequency_table(freq, onto.term, o.onto_min_freq), "redundancy": report.redundancy_table(profiles.redundancy(prof, onto.closure))})
+            sinks.write_report(o.output_report, "Profiles", {"levels": profiles.level_distribution(prof, onto.level), "terms": report.frequency_table(freq, onto.term, o.onto_min_freq), "redundancy": report.redundancy_table(profiles.redundancy(prof, onto.closure)), "plot": _plot(onto, prof, o)})
     if o.childs:
         terms, mods = o.childs
         seeds, up = _ids(spark, terms), "a" in mods
@@ -194,7 +224,7 @@ def profiles_program(spark, o) -> None:
             elif "n" in mods:
                 found = found.join(onto.term, "term_id").select("name")
             elif "s" in mods:
-                found = found.join(onto.level, "term_id").orderBy("level").select("term_id")
+                found = found.join(onto.level, "term_id").orderBy(F.desc("level") if up else F.asc("level"), "term_id").select("term_id")
         _tsv(found, o.output_file)
     if o.keyword:
         d = onto.dictionary("xref", o.keyword).select("term_id", "value")
@@ -215,7 +245,7 @@ def network_program(spark, o) -> None:
 
 
 def rank_program(spark, o) -> None:
-    onto = Ontology.from_obo(spark, o.ontology_file, _read_lines(o.excluded_terms) if o.excluded_terms else None)
+    onto = _ontology(spark, o.ontology_file, _read_lines(o.excluded_terms) if o.excluded_terms else None)
     prof = tables.read_profiles(spark, o.input_file, o.pat_id_col, o.term_col, o.terms_separator)
     if o.hard_check:
         prof = profiles.clean_hard(prof, onto.term, onto.alt, onto.closure)
@@ -224,26 +254,29 @@ def rank_program(spark, o) -> None:
     else:
         ref = profiles.general_profile(prof, onto.term, onto.alt, onto.closure, o.general_prof_freq)
     ref = profiles.from_pairs(ref.withColumn("profile_id", F.lit("ref")), "profile_id", "term_id", "term_id")
-    _ranking(spark, onto, ref, prof, o)
+    _ranking(onto, ref, prof, o, o.matrix_limits, "lin", None, o.header_id, True)
 
 
-def _ranking(spark, onto, ref: DataFrame, prof: DataFrame, o) -> None:
+def _ranking(onto, ref: DataFrame, prof: DataFrame, o, low_limits: list[str], kind: str, titles: DataFrame | None, header: str, whole: bool) -> None:
+    """The report of candidates by likeness to the reference; ``whole`` also writes all of them."""
     terms, candidates = map(int, o.matrix_limits)
-    sims = onto.term_similarities(ref, prof)
+    sims = onto.term_similarities(ref, prof, kind)
     ranked = compare.rank_candidates(compare.compare_profiles(ref, sims, prof, bidirectional=False), "ref")
-    _tsv(ranked, f"{o.output_file}.tsv")
+    if whole:
+        _tsv(ranked, f"{o.output_file}.tsv")
     top = ranked.orderBy("rank").limit(candidates)
     held = prof.join(top.select(F.col("candidate").alias("profile_id")), "profile_id", "left_semi")
     low = compare.candidate_term_sims(ref, held, sims)
-    sinks.write_report(
-        o.output_file,
-        "Ranked profiles",
-        {"candidates": top, "matrix": compare.term_matrix(compare.term_matches(ref, held, sims), top, terms), "not in the reference": compare.negative_terms(low, term_limit=terms)},
-    )
+    matrix = compare.term_matrix(compare.term_matches(ref, held, sims), top, terms).withColumnRenamed("ref_term", header)
+    negative = compare.negative_terms(low, term_limit=int(low_limits[0]))
+    first = top.orderBy("rank").limit(int(low_limits[-1])).select("candidate")
+    cells = compare.negative_matrix(low.join(first, "candidate", "left_semi"), negative)
+    shown = top if titles is None else report.document_report(top.withColumnRenamed("candidate", "doc_id"), titles).orderBy("rank")
+    sinks.write_report(o.output_file, "Ranked profiles", {"candidates": shown, "matrix": matrix, "not in the reference": negative, "held by": cells})
 
 
 def suggest_program(spark, o) -> None:
-    onto = Ontology.from_obo(spark, o.ontology_file)
+    onto = _ontology(spark, o.ontology_file)
     query = _ids(spark, sorted(set(_read_lines(o.query_terms))))
     if o.clean_query_terms:
         one = query.select(F.lit("q").alias("profile_id"), F.lit(0).alias("pos"), "term_id")
@@ -264,29 +297,81 @@ def suggest_program(spark, o) -> None:
         sinks.write_report(o.output_report, "Suggestions", {"targets": out["targets"], "queries": out["means"]})
 
 
+def _model(o) -> search.Embedder:
+    """The embedder of the flags: a sentence model if one is named, else hashed words."""
+    if o.gpu_device or o.use_gpu_for_sim_calculation:
+        raise SystemExit("vectors are made and compared on the executors' CPUs; leave the GPU flags out")
+    if not (o.model_name or o.model_path):
+        return search.hashing_embedder()
+    try:
+        import sentence_transformers
+    except ImportError as e:
+        raise SystemExit("--model_name and --model_path need the package sentence_transformers") from e
+    name = os.path.join(o.model_path, o.model_name or "") if o.model_path else o.model_name
+
+    def make():
+        model = sentence_transformers.SentenceTransformer(name)
+        return lambda texts: model.encode(texts, batch_size=o.batch_size or 32)
+
+    return make
+
+
+def _vectors(spark, path: str | None, make) -> DataFrame:
+    """Vectors saved at ``path`` if there are any; else those that are made, saved there."""
+    if path and os.path.exists(path):
+        return spark.read.parquet(path)
+    made = make()
+    if path:
+        made.write.parquet(path)
+        return spark.read.parquet(path)
+    return made
+
+
 def match_program(spark, o) -> None:
-    found = search.search(tables.read_keywords(spark, o.query), tables.read_corpus(spark, o.corpus, o.split), o.top_k, o.threshold, o.order)
-    sinks.write_matches(found, o.output_file, o.threshold, o.order)
-    if o.print_relevant_pairs:
-        found.orderBy(F.desc("score")).show(50, truncate=False)
+    """Keyword files (several separated by commas) against a corpus; vectors can be saved."""
+    if o.verbose:
+        spark.sparkContext.setLogLevel("INFO")
+    if o.chunk_size:  # texts that a worker holds at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", o.chunk_size)
+    model = _model(o)
+    corpus = _vectors(spark, o.corpus_embedded, lambda: search.embed_texts(tables.read_corpus(spark, o.corpus, o.split), model))
+    files = o.query.split(",")
+    saved = o.query_embedded.split(",") if o.query_embedded else [None] * len(files)
+    if len(saved) != len(files):
+        raise SystemExit("--query_embedded names as many folders as --query names files")
+    for path, at in zip(files, saved):
+        words = _vectors(spark, at, lambda path=path: search.embed_keywords(tables.read_keywords(spark, path), model))
+        found = search.match(words, corpus, o.top_k, o.threshold, o.order)
+        sinks.write_matches(found, o.output_file, o.threshold, o.order)
+        if o.print_relevant_pairs:
+            for r in search.relevant_pairs(found, words, o.threshold).limit(50).collect():
+                print(f"{r['terms']}\t{r['score']:.4f}\t{r['text_ids']}")
 
 
 def match_report_program(spark, o) -> None:
-    onto = Ontology.from_obo(spark, o.ontology)
+    if o.use_pickle:
+        raise SystemExit("pickled files run code when they are opened; give a table instead of --use_pickle")
+    onto = _ontology(spark, o.ontology)
     prof = tables.read_profiles(spark, o.input_file, o.id_col, o.profiles_col, o.separator)
     if not o.hard_check:
         prof = profiles.clean_hard(prof, onto.term, onto.alt, onto.closure)
     ref = profiles.from_pairs(_ids(spark, _read_lines(o.ref_profile)).withColumn("profile_id", F.lit("ref")), "profile_id", "term_id", "term_id")
-    _ranking(spark, onto, ref, prof, o)
+    titles = spark.read.csv(o.pubmed_ids_and_titles, sep="\t", schema="doc_id string, title string, article_type string, article_category string") if o.pubmed_ids_and_titles else None
+    _ranking(onto, ref, prof, o, o.neg_matrix_limits, o.sim, titles, "HP", o.get_full_sim_sorted_list)
 
 
 def index_program(spark, o) -> None:
+    if o.debugging_mode:
+        spark.sparkContext.setLogLevel("INFO")
+    if o.chunk_size:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", o.chunk_size)
     kind = {"PubmedPaper": "paper", "PubmedAbstract": "abstract", "Basic": "basic"}[o.parse]
     records = text.read_records(spark, o.input, kind, o.clean_type)
     eq = spark.read.csv(o.equivalences_file, sep="\t", schema="pmc string, pmid string") if o.equivalences_file else None
     words = _read_lines(o.filter_by_blacklist) if o.filter_by_blacklist else None
     rows = textindex.usable(records, kind, eq, words, o.blacklisted_mode)
-    sinks.write_corpus(textindex.prepare(rows, o.split, o.split_type), o.output, o.items_per_file, o.text_balancing_size)
+    to = f"{o.output}/{o.tag}" if o.tag else o.output
+    sinks.write_corpus(textindex.prepare(rows, o.split, o.split_type), to, o.items_per_file, o.text_balancing_size, o.split_output_files)
 
 
 PROGRAMS = {
@@ -303,7 +388,8 @@ PROGRAMS = {
 
 def main(args: list[str] | None = None) -> None:
     o = _parser().parse_args(args)
-    spark = session(o.master)
+    cores = getattr(o, "processes", 0) or getattr(o, "n_cpus", 0)
+    spark = session(o.master or f"local[{cores or '*'}]")
     spark.sparkContext.setLogLevel("ERROR")
     PROGRAMS[o.program](spark, o)
 

@@ -147,11 +147,20 @@ def direct(edge: DataFrame, terms: DataFrame, up: bool) -> DataFrame:
     return edge.select(F.col(a).alias("term_id"), F.col(b).alias("related")).distinct().join(terms.select("term_id").distinct(), "term_id", "left_semi")
 
 
-def familiar(closure_: DataFrame, terms: DataFrame, up: bool) -> DataFrame:
-    """(term_id, related, dist): strict ancestors (``up``) or descendants."""
+def familiar(closure_: DataFrame, terms: DataFrame, up: bool, level: DataFrame | None = None) -> DataFrame:
+    """(term_id, related, dist): strict ancestors (``up``) or descendants.
+
+    With ``level`` there is a column rank: ancestors from the deepest level up, descendants from
+    the highest down, ties by id.
+    """
     a, b = ("term_id", "ancestor") if up else ("ancestor", "term_id")
     both = closure_.select(F.col(a).alias("t"), F.col(b).alias("related"), "dist")
-    return both.join(terms.select(F.col("term_id").alias("t")).distinct(), "t", "left_semi").withColumnRenamed("t", "term_id")
+    found = both.join(terms.select(F.col("term_id").alias("t")).distinct(), "t", "left_semi").withColumnRenamed("t", "term_id")
+    if level is None:
+        return found
+    order = F.desc_nulls_last("level") if up else F.asc_nulls_last("level")
+    ranked = found.join(level.select(F.col("term_id").alias("related"), "level"), "related", "left")
+    return ranked.select("term_id", "related", "dist", F.row_number().over(Window.partitionBy("term_id").orderBy(order, "related")).alias("rank"))
 
 
 def reroot_levels(edge: DataFrame, closure_: DataFrame, root: str) -> DataFrame:

@@ -56,3 +56,14 @@ def _shared(held: DataFrame, other: dict[str, DataFrame]) -> DataFrame:
     two = scored.groupBy("t", "c1", "c2", "b").agg(top).select("t", "c1", "c2", "m")
     counts = one.unionByName(two).groupBy("t", "c1", "c2", "m").agg(F.count("*").alias("f")).where("f >= 2")
     return counts.groupBy("t", F.col("m").alias("item_id")).agg(F.sum("f").alias("v"))
+
+
+def from_dictionary(dictionary: DataFrame) -> DataFrame:
+    """(term_id, item_id) of a dictionary (term_id, value), each pair once."""
+    return dictionary.select("term_id", F.col("value").alias("item_id")).distinct()
+
+
+def level_terms(item: DataFrame, level: DataFrame) -> DataFrame:
+    """(level, terms) of the terms that hold items."""
+    used = item.select("term_id").distinct().join(level, "term_id").where("level is not null")
+    return used.groupBy("level").agg(F.array_sort(F.collect_list("term_id")).alias("terms"))

@@ -170,6 +170,20 @@ def child_share(profile: DataFrame, meta: DataFrame) -> DataFrame:
     return profile.join(meta.select("term_id", "n_desc"), "term_id").agg(F.avg((F.col("n_desc") > 0).cast("double")).alias("share"))
 
 
+def child_tables(profile: DataFrame, closure_: DataFrame, names: DataFrame) -> DataFrame:
+    """(profile_id, term_id, name, n_below, first_below): each listed term with its name, the
+    number of its descendants and the least of them, null without one."""
+    below = closure_.groupBy(F.col("ancestor").alias("term_id")).agg(F.count("*").alias("n_below"), F.min("term_id").alias("first_below"))
+    rows = profile.select("profile_id", "term_id").distinct().join(names.select("term_id", "name"), "term_id").join(below, "term_id", "left")
+    return rows.select("profile_id", "term_id", "name", F.coalesce("n_below", F.lit(0).cast("long")).alias("n_below"), "first_below")
+
+
+def level_lists(profile: DataFrame, level: DataFrame, distinct: bool = True) -> DataFrame:
+    """(level, term_id, times): the terms of all profiles by level, once or as often as listed."""
+    rows = profile.join(level, "term_id").where("level is not null").groupBy("level", "term_id").agg(F.count("*").alias("times"))
+    return rows.withColumn("times", F.lit(1).cast("long")) if distinct else rows
+
+
 def mean_ics(profile: DataFrame, ic: DataFrame, columns: list[str]) -> DataFrame:
     """(profile_id, <column> ...): mean ICs of the terms."""
     return profile.join(ic, "term_id").groupBy("profile_id").agg(*(F.avg(c).alias(c) for c in columns))

@@ -118,14 +118,19 @@ def _score(shared, k: int, threshold: float):
     return run
 
 
-def search(keywords: DataFrame, sentences: DataFrame, k: int = 20, threshold: float = 0.0, order: str = "corpus-query", embedder: Embedder | None = None) -> DataFrame:
-    """(text_id, kwd_id, score): each sentence's (``corpus-query``) or each keyword text's
-    (``query-corpus``) best matches, the best score of a keyword's synonyms.
+def embed_keywords(keywords: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """(id, kwd_id, text, vector) of (kwd_id, text)."""
+    return embed(keywords.select(F.concat_ws("\u0001", "kwd_id", "text").alias("id"), "kwd_id", "text"), embedder)
 
-    ``keywords`` has (kwd_id, text), ``sentences`` (text_id, text).
-    """
-    kw = stored(embed(keywords.withColumn("id", F.concat_ws("\u0001", "kwd_id", "text")), embedder)).select("id", "vector")
-    tx = stored(embed(sentences.select(F.col("text_id").alias("id"), "text"), embedder)).select("id", "vector")
+
+def embed_texts(sentences: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """(id, text, vector) of (text_id, text)."""
+    return embed(sentences.select(F.col("text_id").alias("id"), "text"), embedder)
+
+
+def match(keywords: DataFrame, texts: DataFrame, k: int = 20, threshold: float = 0.0, order: str = "corpus-query") -> DataFrame:
+    """(text_id, kwd_id, score) of vectors from ``embed_keywords`` and ``embed_texts``."""
+    kw, tx = keywords.select("id", "vector"), texts.select("id", "vector")
     if order == "corpus-query":
         hits = top_k(tx, kw, k).select(F.col("query_id").alias("text_id"), F.col("corpus_id").alias("kw"), "score")
     elif order == "query-corpus":
@@ -135,6 +140,22 @@ def search(keywords: DataFrame, sentences: DataFrame, k: int = 20, threshold: fl
     return best_matches(hits.withColumn("kwd_id", F.split("kw", "\u0001")[0])).where(F.col("score") >= threshold)
 
 
+def search(keywords: DataFrame, sentences: DataFrame, k: int = 20, threshold: float = 0.0, order: str = "corpus-query", embedder: Embedder | None = None) -> DataFrame:
+    """(text_id, kwd_id, score): each sentence's (``corpus-query``) or each keyword text's
+    (``query-corpus``) best matches, the best score of a keyword's synonyms.
+
+    ``keywords`` has (kwd_id, text), ``sentences`` (text_id, text).
+    """
+    return match(stored(embed_keywords(keywords, embedder)), stored(embed_texts(sentences, embedder)), k, threshold, order)
+
+
+def relevant_pairs(matches: DataFrame, keywords: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(terms, score, text_ids): matches by keyword, whose texts are joined by `` -- ``."""
+    names = keywords.groupBy("kwd_id").agg(F.array_join(F.array_sort(F.collect_set("text")), " -- ").alias("terms"))
+    rows = matches.where(F.col("score") >= threshold).join(names, "kwd_id")
+    return rows.groupBy("terms").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("text_id")).alias("text_ids")).orderBy(F.desc("score"), "terms")
+
+
 def best_matches(hits: DataFrame) -> DataFrame:
     """The best score of each (text_id, kwd_id)."""
     return hits.groupBy("text_id", "kwd_id").agg(F.max("score").alias("score"))

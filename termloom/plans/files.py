@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators import items
 from termloom.operators.ontology import Ontology
 from termloom.plans.catalog import Catalog
 from termloom.sources import obo, sinks, tables
@@ -212,6 +213,11 @@ FILES = {
     "obo_alternatives": (lambda f: f.ontology.alt.select("alt_id", "main_id"), _sql("select alt_id, main_id from alt")),
     "obo_obsolete": (lambda f: f.ontology.obsolete, _sql("select id as term_id from p where gone")),
     "obo_dictionary": (lambda f: f.ontology.dictionary("xref", r"^XR:(\d+)$"), _sql("select id as term_id, z::varchar as value, 0 as pos from p")),
+    "items_from_dictionary": (lambda f: items.from_dictionary(f.ontology.dictionary("xref", r"^XR:(\d+)$")), _sql("select id as term_id, z::varchar as item_id from p")),
+    "item_level_terms": (
+        lambda f: items.level_terms(items.from_dictionary(f.ontology.dictionary("xref")), f.ontology.level).select("level", F.size("terms").alias("n"), F.col("terms")[0].alias("first")),
+        _sql("select 3 as level, count(*)::int as n, min(id) as first from p where not gone"),
+    ),
     "obo_by_value": (lambda f: f.ontology.by_value("xref", r"^XR:(\d+)$"), _sql("select z::varchar as value, arg_max(id, k) as term_id from p group by z")),
     "obo_names_of": (
         obo_names_of,

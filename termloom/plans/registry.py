@@ -562,6 +562,21 @@ def _(c: Catalog) -> DataFrame:
     return suggest.suggestions(*_relations(c), transform="log10")["cells"].select("query", "target", _r("value"))
 
 
+@_query("profile_child_tables", sql(body="select profile_id, prof.term_id, prof.term_id as name, (select count(*) from closure c where c.ancestor = prof.term_id) as n_below, (select min(c.term_id) from closure c where c.ancestor = prof.term_id) as first_below from (select distinct profile_id, term_id from prof) prof"))
+def _(c: Catalog) -> DataFrame:
+    return profiles.child_tables(c.orders, c.ontology.closure, c.ontology.term)
+
+
+@_query("profile_level_lists", sql(body="select level, term_id, count(*) as times from prof join lev using (term_id) group by all"))
+def _(c: Catalog) -> DataFrame:
+    return profiles.level_lists(c.orders, c.ontology.level, distinct=False)
+
+
+@_query("familiar_ancestors_ranked", sql(body="select c.term_id, ancestor as related, dist, (row_number() over (partition by c.term_id order by level desc, ancestor))::int as rank from closure c join lev on lev.term_id = ancestor"))
+def _(c: Catalog) -> DataFrame:
+    return graph.familiar(c.ontology.closure, c.ontology.term, up=True, level=c.ontology.level)
+
+
 # strings and texts -------------------------------------------------------------------
 
 

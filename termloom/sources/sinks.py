@@ -7,6 +7,7 @@ import html
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
@@ -29,14 +30,19 @@ def write_profiles(profile: DataFrame, path: str, sep: str = ";", two_columns: b
     rows.write.mode("overwrite").csv(path, sep="\t", header=False)
 
 
-def write_corpus(index: DataFrame, path: str, items_per_file: int = 0, balance: int = 0) -> None:
+def write_corpus(index: DataFrame, path: str, items_per_file: int = 0, balance: int = 0, by_source: bool = False) -> None:
     """A corpus index as gz TSV; ``items_per_file`` rolls files, ``balance`` spreads texts over
-    so many files of near equal bytes."""
+    so many files of near equal bytes, ``by_source`` gives each input file a folder of its own."""
     rows = index.withColumn("length_of_sentences", F.array_join(F.transform("length_of_sentences", lambda x: x.cast("string")), ","))
     if balance:
-        # large texts are dealt to the files in turn, so none gets them all
-        rows = rows.repartitionByRange(balance, F.pmod(F.xxhash64("pmid"), F.lit(balance)), "text_length")
-    w = rows.write.mode("overwrite").option("compression", "gzip").option("sep", "\t").option("quote", "").option("escape", "")
+        # texts of like length are dealt out in turn, largest first: each file gets as many of every length
+        length = F.floor(F.log2(F.greatest(F.col("text_length"), F.lit(1)).cast("double")) * 8).cast("int")
+        group = F.pmod(F.xxhash64("pmid"), F.lit(4))
+        turn = F.row_number().over(Window.partitionBy(length, group).orderBy(F.desc("text_length"), "pmid"))
+        rows = rows.withColumn("_file", F.pmod(turn + group + length, F.lit(balance)).cast("int"))
+        rows = rows.repartitionById(balance, "_file").drop("_file")
+    w = rows.withColumn("source", F.col("original_filename")).write.partitionBy("source") if by_source else rows.write
+    w = w.mode("overwrite").option("compression", "gzip").option("sep", "\t").option("quote", "").option("escape", "")
     (w.option("maxRecordsPerFile", items_per_file) if items_per_file else w).csv(path)
 
 

@@ -224,3 +224,71 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "sug"), sep="\t").collect()] == [("branchAChild1", "8.0")]
     with pytest.raises(SystemExit):
         cli.main(["remote"])
+
+
+def _csv(spark, path):
+    return [tuple(r) for r in spark.read.csv(str(path), sep="\t").collect()]
+
+
+def test_command_line_flags(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda master: spark)
+    (tmp_path / "o.obo").write_text(ENRICHMENT)
+    (tmp_path / "p").write_text("".join(f"{k}\t{';'.join(v)}\n" for k, v in PROFILES.items()))
+    (tmp_path / "known").mkdir()
+    (tmp_path / "known" / "toy.obo").write_text(ENRICHMENT)
+    monkeypatch.setenv("TERMLOOM_ONTOLOGIES", str(tmp_path / "known"))
+    base = ["profiles", "-O", "toy"]
+    # ancestors come from the deepest level up, descendants from the highest down
+    cli.main([*base, "-C", "as/branchAChild1", "-o", str(tmp_path / "up")])
+    assert [r[0] for r in _csv(spark, tmp_path / "up")] == ["branchA", "root"]
+    cli.main([*base, "-C", "s/root", "-o", str(tmp_path / "down")])
+    assert [r[0] for r in _csv(spark, tmp_path / "down")] == ["branchA", "branchB", "branchAChild1", "branchAChild2"]
+    # propagation brings a term to a profile only over the items' levels, the parental way always
+    cli.main([*base, "-i", str(tmp_path / "p"), "-e", "propagate", "-o", str(tmp_path / "risen"), "-E", ","])
+    risen = dict(_csv(spark, tmp_path / "risen"))
+    assert set(risen) == set(PROFILES) and set(PROFILES["P5"]) <= set(risen["P5"].split(","))
+    with pytest.raises(SystemExit):
+        cli.main([*base, "-i", str(tmp_path / "p"), "-e", "other", "-o", str(tmp_path / "x")])
+    with pytest.raises(SystemExit):
+        cli.main(["profiles", "-O", "no such ontology"])
+    cli.main([*base, "-i", str(tmp_path / "p"), "-o", str(tmp_path / "wide"), "--output_report", str(tmp_path / "r.html"), "--root_term", "root", "--ontoplot_mode", "dynamic"])
+    assert "plot" in (tmp_path / "r.html").read_text() and "angle" in (tmp_path / "r.html").read_text()
+    # ranking and its report
+    (tmp_path / "ref").write_text("branchAChild1\nroot\n")
+    (tmp_path / "docs").write_text("".join(f"{k}\t{'|'.join(v)}\n" for k, v in PROFILES.items()))
+    (tmp_path / "titles").write_text("P1\ta title\tarticle\tnews\n")
+    report_ = ["match-report", "-i", str(tmp_path / "docs"), "-O", str(tmp_path / "o.obo"), "-r", str(tmp_path / "ref"), "-o", str(tmp_path / "m.html")]
+    cli.main([*report_, "--pubmed_ids_and_titles", str(tmp_path / "titles"), "-N", "1,2", "--sim", "resnik", "--get_full_sim_sorted_list"])
+    assert "a title" in (tmp_path / "m.html").read_text() and len(_csv(spark, tmp_path / "m.html.tsv")) == len(PROFILES)
+    with pytest.raises(SystemExit):
+        cli.main([*report_, "--use_pickle"])
+    # matching with saved vectors, several keyword files
+    (tmp_path / "k1").write_text("k1\tred house\thome\n")
+    (tmp_path / "k2").write_text("k2\tblue river\n")
+    (tmp_path / "c").write_text("d1\tthe red house on the hill\nd2\ta blue river runs\n")
+    flags = ["match", "-q", f"{tmp_path / 'k1'},{tmp_path / 'k2'}", "-c", str(tmp_path / "c"), "-o", str(tmp_path / "hits"), "-C", str(tmp_path / "cv"), "-Q", f"{tmp_path / 'v1'},{tmp_path / 'v2'}"]
+    cli.main(flags)
+    one = sorted(_csv(spark, tmp_path / "hits"))
+    assert {r[1] for r in one} == {"k1", "k2"} and (tmp_path / "cv").exists() and (tmp_path / "v2").exists()
+    cli.main([*flags, "--print_relevant_pairs"])  # from the saved vectors, appended
+    assert sorted(_csv(spark, tmp_path / "hits")) == sorted(one * 2)
+    with pytest.raises(SystemExit):
+        cli.main([*flags, "-g", "0"])
+
+
+def test_corpus_files_by_source_and_in_balance(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(str(k), "word " * r.choice([5, 50, 500, 5000]) + str(k), f"f{k % 3}", 1, 1, 1, [1]) for k in range(400)]
+    index = spark.createDataFrame(rows, "pmid string, text string, original_filename string, year int, text_length int, number_of_sentences int, length_of_sentences array<int>")
+    index = index.withColumn("text_length", F.length("text"))
+    sinks.write_corpus(index, str(tmp_path / "s"), by_source=True)
+    assert sorted(p.name for p in (tmp_path / "s").glob("source=*")) == ["source=f0", "source=f1", "source=f2"]
+    sinks.write_corpus(index, str(tmp_path / "b"), balance=4)
+    sizes = [len(gzip.open(p).read()) for p in (tmp_path / "b").glob("*.gz")]
+    assert len(sizes) == 4 and max(sizes) < 1.35 * min(sizes)
+
+
+def test_keyword_search_over_values_of_all_tags(spark, tmp_path):
+    (tmp_path / "o.obo").write_text(ENRICHMENT)
+    o = Ontology.from_obo(spark, str(tmp_path / "o.obo"))
+    assert {r.term_id for r in o.search("child[12]", ("name",)).collect()} == {r.term_id for r in o.term.where("lower(name) rlike 'child[12]'").collect()} != set()
