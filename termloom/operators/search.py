@@ -105,7 +105,9 @@ def _score(shared, k: int, threshold: float):
                 continue
             s = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ q.T
             names = b["id"].astype(str).to_numpy()
-            rows, cols = np.nonzero(s >= threshold)
+            # only what may be among a query's k best, ties included, becomes rows
+            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if 0 < k < len(s) else -np.inf
+            rows, cols = np.nonzero((s >= threshold) & (s >= least))
             part = pd.DataFrame({"query_id": np.array(ids, object)[cols], "corpus_id": names[rows], "score": s[rows, cols]})
             if not k:
                 yield part
@@ -118,6 +120,47 @@ def _score(shared, k: int, threshold: float):
     return run
 
 
+def nearest(rows: DataFrame, side: DataFrame, k: int = 20, threshold: float = -1.0) -> DataFrame:
+    """(row_id, side_id, score): the ``k`` vectors of ``side`` nearest to each of ``rows``.
+
+    ``rows`` stay where they are, however many; ``side`` goes to the executors in blocks of
+    bounded size.  With one block nothing is shuffled, with several k rows a row and block.
+    Ties go to the smaller side id; ``k = 0`` keeps all pairs.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    schema = "row_id string, side_id string, score double"
+    parts = [rows.select("id", "vector").mapInPandas(_nearest(spark.sparkContext.broadcast(block), k, threshold), schema) for block in _blocks(side)]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if not k or len(parts) == 1:
+        return out
+    rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "side_id"))
+    return out.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
+def _nearest(shared, k: int, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        ids = np.array(ids, object)
+        for b in batches:
+            if not len(b):
+                continue
+            s = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ q.T
+            m = s.shape[1]
+            least = np.partition(s, m - k, axis=1)[:, m - k, None] if 0 < k < m else -np.inf
+            i, j = np.nonzero((s >= threshold) & (s >= least))
+            part = pd.DataFrame({"i": i, "row_id": b["id"].astype(str).to_numpy()[i], "side_id": ids[j], "score": s[i, j]})
+            if k:
+                part = part.sort_values(["i", "score", "side_id"], ascending=[True, False, True]).groupby("i", sort=False).head(k)
+            yield part.drop(columns="i")
+
+    return run
+
+
 def embed_keywords(keywords: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """(id, kwd_id, text, vector) of (kwd_id, text)."""
     return embed(keywords.select(F.concat_ws("\u0001", "kwd_id", "text").alias("id"), "kwd_id", "text"), embedder)
@@ -132,7 +175,7 @@ def match(keywords: DataFrame, texts: DataFrame, k: int = 20, threshold: float =
     """(text_id, kwd_id, score) of vectors from ``embed_keywords`` and ``embed_texts``."""
     kw, tx = keywords.select("id", "vector"), texts.select("id", "vector")
     if order == "corpus-query":
-        hits = top_k(tx, kw, k).select(F.col("query_id").alias("text_id"), F.col("corpus_id").alias("kw"), "score")
+        hits = nearest(tx, kw, k).select(F.col("row_id").alias("text_id"), F.col("side_id").alias("kw"), "score")
     elif order == "query-corpus":
         hits = top_k(kw, tx, k).select(F.col("corpus_id").alias("text_id"), F.col("query_id").alias("kw"), "score")
     else:

@@ -167,6 +167,8 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
         got = search.top_k(df(queries), df(corpus).repartition(5), 9).collect()
         assert {(r.query_id, r.corpus_id) for r in got} == want
         assert all(abs(r.score - s[int(r.query_id), int(r.corpus_id)]) < 1e-9 for r in got)
+        near = search.nearest(df(queries).repartition(2), df(corpus), 9).collect()
+        assert {(r.row_id, r.side_id) for r in near} == want
     assert search.top_k(df(queries).limit(0), df(corpus), 3).count() == 0
 
 
