@@ -2,9 +2,9 @@
 
 Each document gets whole-text counts; ratios of these go into mergeable quantile
 sketches, one for each language, source and ratio.  A sketch is a log-linear histogram:
-whole numbers below 64 have a bucket each, larger ones share a bucket with at most 1/32
-relative width.  Merging adds counts, so the result depends neither on the order nor on
-the partitioning, and a sketch has at most some 2,000 buckets whatever the rows.
+whole numbers below 512 have a bucket each, larger ones share a bucket with at most 1/256
+relative width, which is finer than the spread of any ratio here.  Merging adds counts, so the result depends neither on the order nor on
+the partitioning, and a sketch has at most some 14,000 buckets whatever the rows.
 
 A threshold climbs its group's sketch: the spread starts as the distance from the median
 down to the lower quartile, which junk cannot reach, and takes in the 75th, 90th, 95th, 98th and
@@ -142,15 +142,15 @@ def ratios() -> dict[str, Column]:
 
 
 def bucket(v: Column) -> Column:
-    """Log-linear bucket of a whole number, at most 1/32 wide relative to it."""
-    e = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
-    return (e * 32 + F.call_function("shiftright", v, e)).cast("int")
+    """Log-linear bucket of a whole number, at most 1/256 wide relative to it."""
+    e = F.greatest(F.length(F.bin(v)) - 9, F.lit(0))
+    return (e * 256 + F.call_function("shiftright", v, e)).cast("int")
 
 
 def bucket_top(b: Column) -> Column:
     """The largest number in a bucket."""
-    e = F.greatest(F.floor(b / 32).cast("int") - 1, F.lit(0))
-    return (F.call_function("shiftleft", (b - e * 32 + 1).cast("long"), e) - 1).cast("long")
+    e = F.greatest(F.floor(b / 256).cast("int") - 1, F.lit(0))
+    return (F.call_function("shiftleft", (b - e * 256 + 1).cast("long"), e) - 1).cast("long")
 
 
 def sketches(measured: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ ORACLE_SQL: dict[str, str] = {
                      n_stutter * 1000 // greatest(n_words, 1) as stutter, n_capitals * 1000 // greatest(word_chars, 1) as capitals, n_marks * 1000 // greatest(n_words, 1) as marks, word_chars * 1000 // greatest(n_words, 1) as wide from f),
         long as (unpivot (select coalesce('=' || lang, 'null') as lang, coalesce('=' || source, 'null') as source, symbols, duplicate_lines, repeats, stutter, capitals, marks, wide, n_words, n_lines, word_chars from m where n_words > 0)
                  on symbols, duplicate_lines, repeats, stutter, capitals, marks, wide, n_words, n_lines, word_chars into name ratio value v),
-        e as (select lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) as e from long),
+        e as (select lang, source, ratio, v, greatest(length(bin(v)) - 9, 0) as e from long),
         sk as (select lang, source, ratio, (((v >> e) + 1) << e) - 1 as top, count(*) as n from e group by all),
         ks as (select unnest(range(0, 20)) as k),
         run0 as (select ratio, top, sum(n) over (partition by ratio order by top) as cum, sum(n) over (partition by ratio) as total from (select ratio, top, sum(n) as n from sk group by all)),
