@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from termloom.storage import stored
 
 
+#: Rounds of a loop after which what it has found is written anew as one table.
+REWRITE = 16
+
+
 def closure(edge: DataFrame, term: DataFrame | None = None) -> DataFrame:
     """(term_id, ancestor, dist): all strict ancestors with their least distance.
 
@@ -26,6 +30,8 @@ def closure(edge: DataFrame, term: DataFrame | None = None) -> DataFrame:
         if delta.isEmpty():
             break
         found = found.unionByName(delta)
+        if hop % REWRITE == 0:  # else the plan grows by a table a hop
+            found = stored(found)
     # a cycle reaches its own members: they are no ancestors of themselves
     found = found.where("term_id <> ancestor")
     if term is not None:
@@ -91,6 +97,8 @@ def levels(term: DataFrame, edge: DataFrame, closure_: DataFrame, shortest: bool
             if front.isEmpty():
                 break
             found = found.unionByName(front)
+            if depth % REWRITE == 0:
+                found = stored(found)
         found = found.groupBy("term_id").agg(F.max("level").alias("level")).where(F.col("level") <= n)
     return term.select("term_id").join(found, "term_id", "left").select("term_id", F.col("level").cast("int").alias("level"))
 
@@ -127,6 +135,8 @@ def path_stats(term: DataFrame, edge: DataFrame, closure_: DataFrame) -> DataFra
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if length % REWRITE == 0:
+            found = stored(found)
     return found.groupBy("term_id").agg(F.sum("n").cast("long").alias("total_paths"), F.max("length").alias("largest_path"), F.min("length").alias("shortest_path"))
 
 

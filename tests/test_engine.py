@@ -372,3 +372,36 @@ def test_greedy_matches_of_large_profiles(spark):
             right.add(b)
             want.add((a, b, s))
     assert got == want
+
+
+def test_path_counts_match_the_listed_paths(spark):
+    """Diamonds on diamonds have exponentially many paths, which are counted but not listed."""
+    small = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "d"), ("g", "e"), ("g", "f"), ("g", "a")]
+    deep = [(f"{x}{k}", y) for k in range(1, 11) for x, y in (("l", f"t{k - 1}"), ("r", f"t{k - 1}"))] + [(f"t{k}", f"{x}{k}") for k in range(1, 11) for x in "lr"]
+    for edges in (small, deep):
+        edge = spark.createDataFrame(edges, "child string, parent string")
+        term = spark.createDataFrame([(t,) for t in sorted({x for e in edges for x in e})], "term_id string")
+        up = graph.closure(edge, term)
+        got = {r.term_id: (r.total_paths, r.largest_path, r.shortest_path) for r in graph.path_stats(term, edge, up).collect()}
+        if edges is deep:
+            assert got["t10"] == (2**10, 21, 21)
+        else:
+            listed = {}
+            for r in graph.paths(term, edge, up).collect():
+                listed.setdefault(r.term_id, []).append(len(r.path))
+            assert got == {t: (len(n), max(n), min(n)) for t, n in listed.items()}
+    ring = spark.createDataFrame([("b", "a"), ("c", "b"), ("b", "c")], "child string, parent string")
+    three = spark.createDataFrame([("a",), ("b",), ("c",)], "term_id string")
+    with pytest.raises(ValueError):
+        graph.path_stats(three, ring, graph.closure(ring, three))
+
+
+def test_ranked_kin_and_child_tables(spark, branched):
+    o = branched
+    seed = spark.createDataFrame([("ChildA1",)], "term_id string")
+    got = [(r.related, r.rank) for r in graph.familiar(o.closure, seed, up=True, level=o.level).orderBy("rank").collect()]
+    assert got == [("ChildA", 1), ("Parental", 2)]
+    prof = spark.createDataFrame([("p", 0, "ChildA"), ("p", 1, "ChildA1"), ("q", 0, "ChildA")], "profile_id string, pos int, term_id string")
+    rows = {(r.profile_id, r.term_id): (r.n_below, r.first_below) for r in profiles.child_tables(prof, o.closure, o.term).collect()}
+    assert rows == {("p", "ChildA"): (2, "ChildA1"), ("p", "ChildA1"): (0, None), ("q", "ChildA"): (2, "ChildA1")}
+    assert {(r.level, r.term_id, r.times) for r in profiles.level_lists(prof, o.level, distinct=False).collect()} == {(2, "ChildA", 2), (3, "ChildA1", 1)}
