@@ -43,6 +43,23 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, ((x.doc_id, x.text_crc32) for x in whole))) == sorted(map(str, ((x.doc_id, x.text_crc32) for x in placed)))
 
 
+def test_stages_keep_clashing_columns_and_awkward_rows(spark, tmp_path):
+    """Extra columns with the names that stages use, nulls in every column, a very long text."""
+    from tests.llm.fixtures import clashing
+
+    rows = awkward() + [(4000, None, None, None, None), (4001, "word " * 3 + "ab " * 30_000, None, None, None)]
+    spark.createDataFrame([(1, "some item that nobody holds in any of these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = clashing(table(spark, rows), "r", "k", "kept", "h1", "n_words", "members", "size", "shard", "rid")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names, name
+        docs = corpus_pipeline.stored(docs)
+        assert docs.count() > 0, name
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert placed.count() == docs.count()
+
+
 def test_empty_documents(spark, tmp_path):
     table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
