@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.storage import arrow
+from termloom.llm.quality import bucket
+from termloom.llm.storage import arrow, release, stored
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Share of its own bytes that a token must cost beside its surroundings.
@@ -91,9 +92,18 @@ def learned_words(docs: DataFrame, size: int = DICTIONARY_BYTES) -> list[str]:
     brought to the driver.  A word of more than 24 letters is no name.
     """
     counted = arrow(docs.select(F.col("text").cast("string").alias("text")), _count_words, "word string, n long").where(F.length("word") <= 24)
-    counted = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # bytes of the words by their count: the least bucket of counts that the dictionary reaches
+    least, left = 0, size
+    for r in counted.groupBy(bucket(F.col("n")).alias("b")).agg(F.sum(F.length("word") + 1).alias("bytes")).orderBy(F.desc("b")).collect():
+        least, left = r["b"], left - r["bytes"]
+        if left <= 0:
+            break
+    # so that tasks hand the driver little more than the head
+    head = counted.where(bucket(F.col("n")) >= least).orderBy(F.col("n").desc(), "word").limit(size // 4).collect()
+    release(counted)
     out, left = [], size
-    for r in counted.orderBy(F.col("n").desc(), "word").limit(size // 4).collect():
+    for r in head:
         left -= len(r["word"]) + 1
         if left < 0:
             break
