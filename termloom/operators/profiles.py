@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.storage import stored
+
 
 def main_ids(ids: DataFrame, term: DataFrame, alt: DataFrame, column: str = "term_id") -> DataFrame:
     """``ids`` with main_id: the id itself if it is a term, else its main id, else null."""
@@ -67,10 +69,12 @@ def clean_by_score(profile: DataFrame, scores: DataFrame, closure_: DataFrame, b
     """(profile_id, term_id): of each term and its scored kin in the profile the best scored
     (worst if not ``by_max``); ties go to the larger id for the best, the smaller for the worst."""
     held = profile.select("profile_id", "term_id").distinct()
-    scored = held.join(scores.select("term_id", "score"), "term_id")
-    kin = closure_.select("term_id", F.col("ancestor").alias("kin")).unionByName(closure_.select(F.col("ancestor").alias("term_id"), F.col("term_id").alias("kin")))
-    kin = kin.unionByName(scored.select("term_id", F.col("term_id").alias("kin")).distinct())
-    family = scored.select("profile_id", "term_id").join(kin, "term_id").join(scored.select("profile_id", F.col("term_id").alias("kin"), "score"), ["profile_id", "kin"])
+    scored = stored(held.join(scores.select("term_id", "score"), "term_id"))
+    # upwards only: a term has few ancestors, but as many descendants as the ontology is large
+    above = closure_.select("term_id", F.col("ancestor").alias("kin")).join(scored.select(F.col("term_id").alias("kin")).distinct(), "kin", "left_semi")
+    up = scored.select("profile_id", "term_id", F.col("score").alias("own")).join(above, "term_id").join(scored.select("profile_id", F.col("term_id").alias("kin"), "score"), ["profile_id", "kin"])
+    both = F.array(F.struct("term_id", "kin", "score"), F.struct(F.col("kin").alias("term_id"), F.col("term_id").alias("kin"), F.col("own").alias("score")))
+    family = up.select("profile_id", F.explode(both).alias("f")).select("profile_id", "f.*").unionByName(scored.select("profile_id", "term_id", F.col("term_id").alias("kin"), "score"))
     order = F.struct("score", "kin")
     best = family.groupBy("profile_id", "term_id").agg((F.max_by if by_max else F.min_by)("kin", order).alias("keep"))
     kept = best.select("profile_id", F.col("keep").alias("term_id")).distinct()
