@@ -18,6 +18,7 @@ from termloom.plans.catalog import Catalog
 from termloom.sources import obo, sinks, tables
 from termloom.storage import shared_dir
 
+_HEADER = "format-version: 1.2\nontology: pt\n\n"
 _FIRST = """[Term]
 id: PT:ROOT
 name: All
@@ -41,16 +42,18 @@ class Files:
         self.c = c
 
     def _text(self, rows: DataFrame) -> str:
-        """``rows(k, value)`` as one text file in the order of k."""
+        """``rows(k, value)`` as text files that continue each other in the order of k, each with the header."""
         path = shared_dir(self.c.spark)
-        rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a partition
+        value = F.when(first, F.concat(F.lit(_HEADER), F.col("value"))).otherwise(F.col("value"))
+        rows.orderBy("k").select(value.alias("value")).write.text(path)
         return path
 
     @cached_property
     def obo(self) -> str:
         part = self.c.table("part")
         text = lambda s, *a: F.format_string(s, *(F.col(x).cast("string") for x in a))
-        top = self.c.spark.createDataFrame([("0", "format-version: 1.2\nontology: pt\n\n" + _FIRST)], "k string, value string")
+        top = self.c.spark.createDataFrame([("0", _FIRST)], "k string, value string")
         brand = part.select("p_brand").distinct().select(F.concat(F.lit("1"), F.col("p_brand")).alias("k"), text("[Term]\nid: PT:%s\nname: brand %s\nis_a: PT:ROOT ! All\n", "p_brand", "p_brand").alias("value"))
         gone = (F.col("p_partkey") % 11 == 0) & (F.col("p_partkey") > 0)
         lines = F.concat(
@@ -67,16 +70,9 @@ class Files:
 
     @cached_property
     def json(self) -> str:
-        """All terms as one JSON object with profiles and items."""
-        o = self.ontology
-        terms = o.all_terms.select(F.struct("term_id", F.transform_values("tags", lambda k, v: F.to_json(v)).alias("t")).alias("e"))
-        maps = terms.agg(F.map_from_entries(F.collect_list("e")).alias("terms"))
-        alt = o.alt.agg(F.map_from_entries(F.collect_list(F.struct("alt_id", "main_id"))).alias("alternatives_index"))
-        prof = self.profiles.groupBy("profile_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term_id"))), lambda x: x["term_id"]).alias("ts"))
-        prof = prof.agg(F.map_from_entries(F.collect_list(F.struct("profile_id", "ts"))).alias("profiles"))
-        items = self.profiles.groupBy("term_id").agg(F.array_sort(F.collect_set("profile_id")).alias("xs")).agg(F.map_from_entries(F.collect_list(F.struct("term_id", "xs"))).alias("items"))
+        """All terms as JSON objects with profiles and items."""
         path = shared_dir(self.c.spark)
-        maps.crossJoin(alt).crossJoin(prof).crossJoin(items).write.json(path)  # one row each: an object is one file
+        sinks.write_ontology_json(self.ontology.all_terms, self.ontology.alt, self.profiles, path)
         return path
 
     @cached_property

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.storage import stored
+
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
     """Each table as a folder of its name."""
@@ -30,6 +32,33 @@ def write_profiles(profile: DataFrame, path: str, sep: str = ";", two_columns: b
     rows.write.mode("overwrite").csv(path, sep="\t", header=False)
 
 
+#: Terms, alternatives, ids of profiles and items in one object of a JSON dump, about.
+OBJECT_ROWS = 50_000
+
+
+def write_ontology_json(term: DataFrame, alt: DataFrame, profile: DataFrame, path: str, rows: int = OBJECT_ROWS) -> None:
+    """A JSON dump of an ontology, its profiles and items: objects of bounded size, a file each.
+
+    ``part`` orders the objects: terms follow each other in their order, and a long profile
+    is continued by objects of a larger part.
+    """
+    profile = stored(profile)
+    n = profile.count() // rows + 1
+    bucket = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("bucket")
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    part = F.coalesce(F.floor(F.col("ord") / rows), bucket("term_id", term.count() // rows + 1)).cast("long").alias("part")
+    kinds = [
+        term.groupBy(part).agg(entries(F.col("term_id"), F.transform_values("tags", lambda k, v: F.to_json(v))).alias("terms")),
+        alt.groupBy(bucket("alt_id", alt.count() // rows + 1)).agg(entries("alt_id", "main_id").alias("alternatives_index")),
+    ]
+    lists = profile.groupBy("profile_id", F.floor(F.col("pos") / rows).cast("long").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term_id"))), lambda x: x["term_id"]).alias("ts"))
+    kinds.append(lists.groupBy("part", bucket("profile_id", n)).agg(entries("profile_id", "ts").alias("profiles")))
+    held = profile.groupBy("term_id").agg(F.array_sort(F.collect_set("profile_id")).alias("xs"))
+    kinds.append(held.groupBy(bucket("term_id", n)).agg(entries("term_id", "xs").alias("items")))
+    for k, rows_ in enumerate(kinds):
+        rows_.drop("bucket").write.mode("append" if k else "overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def write_corpus(index: DataFrame, path: str, items_per_file: int = 0, balance: int = 0, by_source: bool = False) -> None:
     """A corpus index as gz TSV; ``items_per_file`` rolls files, ``balance`` spreads texts over
     so many files of near equal bytes, ``by_source`` gives each input file a folder of its own."""

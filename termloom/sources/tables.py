@@ -91,19 +91,28 @@ def read_corpus(spark: SparkSession, path: str, split: bool) -> DataFrame:
 
 
 def read_ontology_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a JSON dump of an ontology object: term, alt, obsolete, profile, item."""
+    """Tables of a JSON dump of an ontology object: term, alt, obsolete, profile, item.
+
+    A dump in several files has one object in each; they continue each other in the order of
+    their ``part``, then of the files' names.
+    """
     maps = "map<string,array<string>>"
-    schema = f"terms map<string,map<string,string>>, alternatives_index map<string,string>, profiles {maps}, items {maps}"
-    raw = spark.read.json(path, schema=schema, multiLine=True)
+    schema = f"part long, terms map<string,map<string,string>>, alternatives_index map<string,string>, profiles {maps}, items {maps}"
+    raw = spark.read.json(path, schema=schema, multiLine=True).select("*", F.struct("part", F.col("_metadata.file_path")).alias("at"))
     wrapped = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))
-    terms = raw.select(F.posexplode("terms").alias("ord", "term_id", "t"))
+    n = raw.where("terms is not null").select("at", F.size("terms").alias("n"))
+    before = n.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).cast("int").alias("before"))  # a row for each object
+    terms = raw.select("at", F.posexplode("terms").alias("k", "term_id", "t")).join(F.broadcast(before), "at").withColumn("ord", F.col("before") + F.col("k"))
     tags = F.transform_values("t", lambda k, v: wrapped(v))
-    first = lambda tag: F.try_element_at(tags, F.lit(tag))[0]
+    first = lambda tag: wrapped(F.try_element_at("t", F.lit(tag)))[0]
     term = terms.select("term_id", "ord", first("name").alias("name"), first("def").alias("definition"), tags.alias("tags"))
+    lists = raw.select("at", F.explode("profiles").alias("profile_id", "ts"))
+    size = F.sum(F.size("ts")).over(Window.partitionBy("profile_id").orderBy("at")) - F.size("ts")
+    lists = lists.withColumn("before", size).select("profile_id", "before", F.posexplode("ts").alias("k", "term_id"))
     return {
         "term": term,
         "alt": raw.select(F.explode("alternatives_index").alias("alt_id", "main_id")),
         "obsolete": term.where(F.element_at(F.coalesce(F.try_element_at("tags", F.lit("is_obsolete")), F.array(F.lit("false"))), 1) == "true").select("term_id"),
-        "profile": raw.select(F.explode("profiles").alias("profile_id", "ts")).select("profile_id", F.posexplode("ts").alias("pos", "term_id")),
+        "profile": lists.select("profile_id", (F.col("before") + F.col("k")).cast("int").alias("pos"), "term_id"),
         "item": raw.select(F.explode("items").alias("term_id", "xs")).select("term_id", F.explode("xs").alias("item_id")),
     }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from termloom.operators import profiles
+from termloom.sources import obo, sinks, tables
 from tests.plans import executed
 
 
@@ -19,3 +22,37 @@ def test_cleaning_by_score_never_lists_descendants(spark):
     rows, steps = executed(profiles.clean_by_score(prof, scores, closure))
     assert {tuple(r) for r in rows} == {(str(k), f"t{k}") for k in range(50)}
     assert max(n for _, n in steps) <= 2000  # 50 times 2,000 if each listed root met all its descendants
+
+
+def test_obo_file_is_read_in_parts(spark, tmp_path):
+    text = "format-version: 1.2\nontology: x\n\n" + "".join(f'[Term]\nid: X:{k}\nname: n{k}\ndef: "{"d" * 200}" []\n\n' for k in range(5000))
+    text += "[Other]\nxref: X:late\n\n[Term]\nid: X:1\nname: again\n"
+    (tmp_path / "x.obo").write_text(text)
+    (tmp_path / "r.obo").write_text(text.replace("\n", "\r"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        _, steps = executed(obo.stanzas(spark, str(tmp_path / "x.obo")).groupBy(F.spark_partition_id()).count())
+        got = {name: obo.read_obo(spark, str(tmp_path / name))["term"].collect() for name in ("x.obo", "r.obo")}
+        parts = obo.stanzas(spark, str(tmp_path / "x.obo")).select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts > 3  # one row and one task before
+    for rows in got.values():
+        assert [(r.ord, r.term_id, r.name) for r in sorted(rows, key=lambda r: r.ord)] == [(k, f"X:{k}", "again" if k == 1 else f"n{k}") for k in range(5000)]
+        assert next(r for r in rows if r.term_id == "X:4999").tags["xref"] == ["X:late"]
+
+
+def test_json_dump_in_objects(spark, tmp_path):
+    term = spark.range(95).selectExpr("'t' || (1000 - id) as term_id", "cast(id as int) as ord", "map('name', array('n' || id)) as tags")
+    alt = spark.createDataFrame([("a1", "t1000"), ("a2", "t999")], "alt_id string, main_id string")
+    prof = spark.range(60).selectExpr("'p' || id % 2 as profile_id", "cast(id * 3 as int) as pos", "'t' || (1000 - id) as term_id")
+    path = str(tmp_path / "d")
+    sinks.write_ontology_json(term, alt, prof, path, rows=10)
+    assert max(spark.read.json(path, multiLine=True).selectExpr("greatest(size(map_keys(from_json(to_json(terms), 'map<string,string>'))), 0)").first()) <= 10
+    got = tables.read_ontology_json(spark, path)
+    assert [r.term_id for r in got["term"].orderBy("ord").collect()] == [f"t{1000 - k}" for k in range(95)]
+    assert sorted(r.ord for r in got["term"].collect()) == list(range(95))
+    assert {tuple(r) for r in got["alt"].collect()} == {("a1", "t1000"), ("a2", "t999")}
+    assert {tuple(r) for r in got["profile"].collect()} == {(f"p{k % 2}", k // 2, f"t{1000 - k}") for k in range(60)}
+    assert {tuple(r) for r in got["item"].collect()} == {(f"t{1000 - k}", f"p{k % 2}") for k in range(60)}
