@@ -109,7 +109,8 @@ class Ontology:
         """(a, b, mica, mica_ic, sim) of the term pairs of the profiles compared."""
         ic = stored(self.ic(*{ic_type, "resnik"}, profile=profile))
         own = "resnik" if sim_type in ("eric", "neric", "nweric", "erlin") else ic_type
-        mica = similarity.micas(similarity.term_pairs(a, b), self.reflexive, ic, f"ic_{own}")
+        used = a.select("term_id").unionByName((a if b is None else b).select("term_id")).distinct()
+        mica = similarity.micas(similarity.term_pairs(a, b), self.reflexive, ic, f"ic_{own}", used)
         top = self.meta.agg(F.max("struct_freq")).first()[0] if sim_type == "nweric" else None
         return similarity.similarities(mica, ic, sim_type, ic_type, top)
 

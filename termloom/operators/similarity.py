@@ -62,14 +62,15 @@ def term_pairs(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     return left.crossJoin(right).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def micas(pairs: DataFrame, reflexive_: DataFrame, ic: DataFrame, ic_col: str = "ic_resnik") -> DataFrame:
+def micas(pairs: DataFrame, reflexive_: DataFrame, ic: DataFrame, ic_col: str = "ic_resnik", terms: DataFrame | None = None) -> DataFrame:
     """(a, b, mica, mica_ic) for every pair with a common ancestor.
 
-    Both closures are first restricted to the terms of the pairs; then each pair is joined
+    Both closures are first restricted to the terms of the pairs (``terms``, if they are known); then each pair is joined
     with the ancestors of ``a`` and, on (b, ancestor), with those of ``b``.  Ties go to the
     largest id.
     """
-    up = reflexive_.select("term_id", "ancestor").join(ic.select(F.col("term_id").alias("ancestor"), F.col(ic_col).alias("anc_ic")), "ancestor")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("term_id")).distinct() if terms is None else terms
+    up = reflexive_.select("term_id", "ancestor").join(used, "term_id", "left_semi").join(ic.select(F.col("term_id").alias("ancestor"), F.col(ic_col).alias("anc_ic")), "ancestor")
     up = up.where("anc_ic is not null")
     ua = up.select(F.col("term_id").alias("a"), "ancestor", "anc_ic")
     ub = up.select(F.col("term_id").alias("b"), "ancestor")
@@ -122,7 +123,8 @@ def best_mica_to_profile(terms: DataFrame, profile: DataFrame, reflexive_: DataF
     """(term_id, mica, mica_ic): each term's most informative ancestor shared with any term
     of the profile."""
     pairs = terms.select(F.col("term_id").alias("a")).distinct().crossJoin(profile.select(F.col("term_id").alias("b")).distinct())
-    return micas(pairs, reflexive_, ic, ic_col).groupBy(F.col("a").alias("term_id")).agg(F.max_by("mica", F.struct("mica_ic", "mica")).alias("mica"), F.max("mica_ic").alias("mica_ic"))
+    used = terms.select("term_id").unionByName(profile.select("term_id")).distinct()
+    return micas(pairs, reflexive_, ic, ic_col, used).groupBy(F.col("a").alias("term_id")).agg(F.max_by("mica", F.struct("mica_ic", "mica")).alias("mica"), F.max("mica_ic").alias("mica_ic"))
 
 
 def profile_common_ancestors(profile: DataFrame, closure_: DataFrame, cutoff: float = 1.0) -> DataFrame:
