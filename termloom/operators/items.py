@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators import profiles, similarity
+from termloom.operators.graph import REWRITE
 from termloom.storage import stored
 
 
@@ -23,14 +24,14 @@ def expand_to_parents(item: DataFrame, closure_: DataFrame, level: DataFrame, mi
     used = used.unionByName(used.join(closure_, "term_id").select(F.col("ancestor").alias("term_id"))).distinct()
     placed = stored(used.join(level, "term_id").where("level is not null"))
     steps = sorted((r["level"] for r in placed.select("level").distinct().collect()), reverse=True)[1:]  # levels are few
-    for step in steps:
+    for k, step in enumerate(steps, 1):
         here = placed.where(F.col("level") == step).select(F.col("term_id").alias("t"))
         below = here.join(closure_.select("term_id", F.col("ancestor").alias("t")), "t").join(items.select("term_id").distinct(), "term_id", "left_semi")
         enough = below.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= minimum_children).select("t")
         below = below.join(enough, "t", "left_semi")
         held = below.join(items, "term_id").select("t", "term_id", "item_id")
         votes = held.groupBy("t", "item_id").agg(F.count("*").alias("v")) if other is None else _shared(held, other)
-        gained = votes.where(F.col("v") >= minimum_children).select(F.col("t").alias("term_id"), "item_id")
+        gained = stored(votes.where(F.col("v") >= minimum_children).select(F.col("t").alias("term_id"), "item_id"))
         if other is not None:
             old = items.join(gained.select("term_id"), "term_id", "left_semi")
             both = old.unionByName(gained).distinct()
@@ -39,7 +40,11 @@ def expand_to_parents(item: DataFrame, closure_: DataFrame, level: DataFrame, mi
             kept = kept.select(F.col("profile_id").alias("term_id"), F.col("term_id").alias("item_id")).join(old.select("term_id"), "term_id", "left_semi")
             items = stored(items.join(gained.select("term_id"), "term_id", "left_anti").unionByName(kept).unionByName(lone).distinct())
         else:
-            items = stored(items.unionByName(gained).distinct())
+            # only what a term of this level held already can come twice; what was stored stays as it is
+            old = items.join(gained.select("term_id").distinct(), "term_id", "left_semi")
+            items = items.unionByName(stored(gained.join(old, ["term_id", "item_id"], "left_anti")))
+            if k % REWRITE == 0:
+                items = stored(items)
     return items
 
 

@@ -344,7 +344,7 @@ up1 as (select t as term_id, item_id from kin1 join it2 using (term_id) where t
 
 @_query("items_to_parents", sql(_RISEN, body="select * from it2 union select * from up1"))
 def _(c: Catalog) -> DataFrame:
-    item = c.table("lineitem").select("l_partkey", "l_suppkey").distinct().join(c.named.select("p_partkey", "p"), F.col("l_partkey") == F.col("p_partkey"))
+    item = c.table("lineitem").select("l_partkey", "l_suppkey").join(c.named.select("p_partkey", "p"), F.col("l_partkey") == F.col("p_partkey"))
     item = item.select(F.col("p").alias("term_id"), F.col("l_suppkey").cast("string").alias("item_id"))
     return items.expand_to_parents(item, c.ontology.closure, c.ontology.level, minimum_children=3)
 
