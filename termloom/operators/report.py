@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from termloom.storage import ranked
 
 #: Root and reference terms of well-known ontologies, by lower-case name.
 DEFAULT_ROOTS = {"hp": ("HP:0000118", "HP:0000118"), "go": ("GO:0008150", "GO:0008150"), "mondo": ("MONDO:0700096", "MONDO:0700096")}
@@ -38,9 +39,9 @@ def ontoplot(paths: DataFrame, level: DataFrame, freq: DataFrame, root: str, alp
     """
     down = paths.where(F.array_contains("path", F.lit(root))).select("term_id", F.reverse("path").alias("way"))
     first = down.groupBy("term_id").agg(F.min("way").alias("way")).join(level, "term_id")
+    first = ranked(first.where("level is not null"), "level", "way", "k")
     n = first.groupBy("level").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("level").orderBy("way"))
-    rows = first.withColumn("k", place).join(n, "level").join(freq, "term_id", "left")
+    rows = first.join(F.broadcast(n), "level").join(freq, "term_id", "left")  # levels are few
     f = F.coalesce("freq", F.lit(0.0))
     return rows.select("term_id", "level", ((F.col("k") - 1) * (2 * math.pi) / F.col("n")).alias("angle"), F.col("level").cast("double").alias("radius"), transformed(f, size).alias("size"), transformed(f, alpha).alias("alpha"))
 
