@@ -17,7 +17,8 @@ def main_ids(ids: DataFrame, term: DataFrame, alt: DataFrame, column: str = "ter
     """``ids`` with main_id: the id itself if it is a term, else its main id, else null."""
     known = term.select(F.col("term_id").alias(column), F.lit(True).alias("_is"))
     other = alt.select(F.col("alt_id").alias(column), F.col("main_id").alias("_main")).dropDuplicates([column])
-    joined = ids.join(known, column, "left").join(other, column, "left")
+    # terms and alternatives grow with the ontology and pack well: their files look smaller than a broadcast is
+    joined = ids.join(known.hint("merge"), column, "left").join(other.hint("merge"), column, "left")
     return joined.withColumn("main_id", F.when(F.col("_is"), F.col(column)).otherwise(F.col("_main"))).drop("_is", "_main")
 
 
@@ -33,14 +34,31 @@ def _first_only(profile: DataFrame) -> DataFrame:
     return profile.groupBy("profile_id", "term_id").agg(F.min("pos").alias("pos")).select("profile_id", "pos", "term_id")
 
 
+def _with_listed_ancestors(profile: DataFrame, closure_: DataFrame) -> DataFrame:
+    """``profile`` with above: those ancestors of the term that some profile lists, null without one."""
+    inner = closure_.select(F.col("ancestor").alias("term_id")).distinct()
+    listed = stored(profile.select("term_id").distinct().join(inner, "term_id", "left_semi"))
+    up = closure_.join(listed.withColumnRenamed("term_id", "ancestor"), "ancestor", "left_semi").groupBy("term_id").agg(F.collect_list("ancestor").alias("above"))
+    return profile.join(up, "term_id", "left")
+
+
+def _marked(profile: DataFrame, closure_: DataFrame) -> DataFrame:
+    """(profile_id, term_id, pos, redundant): the rows of a profile table, each with whether its
+    term is a strict ancestor of another of the profile."""
+    rows = _with_listed_ancestors(profile.select("profile_id", "pos", "term_id"), closure_)
+    own = F.struct("term_id", "pos", F.lit(False).alias("up"))
+    kin = F.transform(F.array_distinct("above"), lambda x: F.struct(x.alias("term_id"), F.lit(None).cast(profile.schema["pos"].dataType).alias("pos"), F.lit(True).alias("up")))
+    rows = rows.select("profile_id", F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.concat(F.array(own), kin))).alias("r")).select("profile_id", "r.*")
+    return rows.withColumn("redundant", F.max("up").over(Window.partitionBy("profile_id", "term_id"))).where(~F.col("up")).drop("up")
+
+
 def redundant(profile: DataFrame, closure_: DataFrame) -> DataFrame:
     """(profile_id, term_id): terms that are strict ancestors of another of their profile."""
-    up = profile.select("profile_id", "term_id").distinct().join(closure_, "term_id").select("profile_id", F.col("ancestor").alias("term_id")).distinct()
-    return up.join(profile.select("profile_id", "term_id").distinct(), ["profile_id", "term_id"], "left_semi")
+    return _marked(profile.withColumn("pos", F.lit(0)), closure_).where("redundant").select("profile_id", "term_id").distinct()
 
 
 def drop_ancestors(profile: DataFrame, closure_: DataFrame) -> DataFrame:
-    return profile.join(redundant(profile, closure_), ["profile_id", "term_id"], "left_anti").select("profile_id", "pos", "term_id")
+    return _marked(profile, closure_).where(~F.col("redundant")).select("profile_id", "pos", "term_id")
 
 
 def drop_alternatives(profile: DataFrame, alt: DataFrame) -> DataFrame:
@@ -62,7 +80,7 @@ def clean_hard(profile: DataFrame, term: DataFrame, alt: DataFrame, closure_: Da
     good, _ = check_ids(profile, term, alt)
     if term_filter is not None:
         good = good.join(closure_.where(F.col("ancestor") == term_filter).select("term_id"), "term_id", "left_semi")
-    return drop_ancestors(_first_only(good.select("profile_id", "pos", "term_id")), closure_)
+    return drop_ancestors(stored(_first_only(good.select("profile_id", "pos", "term_id"))), closure_)
 
 
 def clean_by_score(profile: DataFrame, scores: DataFrame, closure_: DataFrame, by_max: bool = True, remove_without_score: bool = True) -> DataFrame:
@@ -83,10 +101,20 @@ def clean_by_score(profile: DataFrame, scores: DataFrame, closure_: DataFrame, b
     return kept
 
 
+def _above(profile: DataFrame, closure_: DataFrame) -> DataFrame:
+    """(profile_id, term_id, above): rows with the strict ancestors of their term, a profile's rows in one place.
+
+    Ancestors travel as an array: only where a profile's rows have met are they listed.
+    """
+    n = 4 * int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: merged by their bytes here, partitions are too large once listed
+    up = closure_.groupBy("term_id").agg(F.collect_list("ancestor").alias("above"))
+    rows = profile.select("profile_id", "term_id").join(up, "term_id", "left")
+    return rows.select("profile_id", "term_id", F.coalesce("above", F.array().cast("array<string>")).alias("above")).repartition(n, "profile_id")
+
+
 def expand_with_parents(profile: DataFrame, closure_: DataFrame, unwanted: list[str] | None = None) -> DataFrame:
     """(profile_id, term_id): the terms and all their strict ancestors, less the unwanted."""
-    own = profile.select("profile_id", "term_id")
-    out = own.unionByName(own.distinct().join(closure_, "term_id").select("profile_id", F.col("ancestor").alias("term_id"))).distinct()
+    out = _above(profile, closure_).select("profile_id", F.explode(F.concat(F.array("term_id"), "above")).alias("term_id")).distinct()
     return out.where(~F.col("term_id").isin(*unwanted)) if unwanted else out
 
 
@@ -112,16 +140,15 @@ def term_frequencies(profile: DataFrame, closure_: DataFrame | None = None, rati
     With ``closure_`` a profile also counts once for every strict ancestor of its terms; an
     ancestor that it lists itself then counts twice, unless ``distinct``.
     """
-    rows = profile.select("profile_id", "term_id")
+    count = lambda rows: rows.groupBy("term_id").agg(F.count("*").cast("double").alias("freq"))
+    own = profile.select("profile_id", "term_id")
     if distinct:
-        rows = rows.distinct()
-    counts = rows
-    if closure_ is not None:
-        up = rows.distinct().join(closure_, "term_id").select("profile_id", F.col("ancestor").alias("term_id")).distinct()
-        counts = rows.unionByName(up)
-        if distinct:
-            counts = counts.distinct()
-    freq = counts.groupBy("term_id").agg(F.count("*").cast("double").alias("freq"))
+        freq = count(own.distinct() if closure_ is None else expand_with_parents(profile, closure_))
+    else:
+        freq = count(own)
+        if closure_ is not None:
+            up = _above(profile, closure_).select("profile_id", F.explode("above").alias("term_id")).distinct()
+            freq = freq.unionByName(count(up)).groupBy("term_id").agg(F.sum("freq").alias("freq"))
     if not ratio:
         return freq
     n = profile.agg(F.count_distinct("profile_id").alias("n"))
@@ -165,8 +192,8 @@ def size_at_percentile(profile: DataFrame, percent: float = 50, increasing: bool
 
 def redundancy(profile: DataFrame, closure_: DataFrame) -> DataFrame:
     """(profile_id, size, redundant): terms, and those made redundant by a descendant."""
-    bad = redundant(profile, closure_).withColumn("r", F.lit(1))
-    return profile.join(bad, ["profile_id", "term_id"], "left").groupBy("profile_id").agg(F.count("*").alias("size"), F.count("r").alias("redundant"))
+    rows = _marked(profile.select("profile_id", F.lit(0).alias("pos"), "term_id"), closure_)
+    return rows.groupBy("profile_id").agg(F.count("*").alias("size"), F.count_if("redundant").alias("redundant"))
 
 
 def child_share(profile: DataFrame, meta: DataFrame) -> DataFrame:

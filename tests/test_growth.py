@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.operators import profiles
+from termloom.operators import graph, profiles, similarity
 from termloom.sources import obo, sinks, tables
+from termloom.storage import ranked
 from tests.plans import executed
 
 
@@ -56,3 +57,49 @@ def test_json_dump_in_objects(spark, tmp_path):
     assert {tuple(r) for r in got["alt"].collect()} == {("a1", "t1000"), ("a2", "t999")}
     assert {tuple(r) for r in got["profile"].collect()} == {(f"p{k % 2}", k // 2, f"t{1000 - k}") for k in range(60)}
     assert {tuple(r) for r in got["item"].collect()} == {(f"t{1000 - k}", f"p{k % 2}") for k in range(60)}
+
+
+def test_cleaning_lists_only_ancestors_that_profiles_hold(spark):
+    closure = spark.range(20).selectExpr("'leaf' as term_id", "'a' || id as ancestor", "1 as dist")
+    prof = spark.range(300).selectExpr("cast(id as string) as profile_id", "explode(array('leaf', 'a0', 'x')) as term_id", "0 as pos")
+    rows, steps = executed(profiles.clean(prof, closure))
+    assert {(r.profile_id, r.term_id) for r in rows} == {(str(k), t) for k in range(300) for t in ("leaf", "x")}
+    assert max(n for _, n in steps) <= 1200  # 6,000 with all ancestors
+    assert {tuple(r) for r in profiles.redundancy(prof, closure).collect()} == {(str(k), 3, 1) for k in range(300)}
+
+
+def test_ids_are_checked_without_a_broadcast(spark):
+    term = spark.createDataFrame([("a",)], "term_id string")
+    alt = spark.createDataFrame([("b", "a")], "alt_id string, main_id string")
+    prof = spark.createDataFrame([("p", 0, t) for t in "abc"], "profile_id string, pos int, term_id string")
+    rows, steps = executed(profiles.main_ids(prof, term, alt))
+    assert {(r.term_id, r.main_id) for r in rows} == {("a", "a"), ("b", "a"), ("c", None)}
+    assert not any("Broadcast" in name for name, _ in steps)
+
+
+def test_ancestors_are_listed_where_a_profile_has_met(spark):
+    closure = spark.range(20).selectExpr("'leaf' as term_id", "'a' || id as ancestor", "1 as dist")
+    prof = spark.range(300).selectExpr("cast(id as string) as profile_id", "'leaf' as term_id", "0 as pos")
+    plan = profiles.expand_with_parents(prof, closure)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning(profile_id")  # no exchange above
+    assert profiles.expand_with_parents(prof, closure).count() == 300 * 21
+    assert {r.freq for r in profiles.term_frequencies(prof, closure).collect()} == {1.0}
+
+
+def test_ranks_of_one_group_come_from_several_tasks(spark):
+    rows = spark.range(3000).selectExpr("id % 2 as g", "id as x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = ranked(rows, "g", "x", "k").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.g, r.x, r.k) for r in got} == {(k % 2, k, k // 2 + 1) for k in range(3000)}
+
+
+def test_leaves_are_not_joined_with_edges_again(spark):
+    edge = spark.range(500).selectExpr("'t' || id as child", "'r' as parent").unionByName(spark.createDataFrame([("r", "s")], "child string, parent string"))
+    pairs = spark.createDataFrame([("t1", "t2")], "a string, b string")
+    c = graph.closure(edge)
+    assert c.count() == 1001
+    term = spark.range(500).selectExpr("'t' || id as term_id").unionByName(spark.createDataFrame([("r",), ("s",)], "term_id string"))
+    rows, steps = executed(similarity.micas(pairs, graph.reflexive(c, term), term.selectExpr("term_id", "1.0D as ic_resnik")))
+    assert [(r.mica, r.mica_ic) for r in rows] == [("s", 1.0)]
+    assert sum(n for name, n in steps if "Join" in name) < 100  # the closure is cut to the terms of the pairs first
