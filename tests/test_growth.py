@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from termloom.operators import graph, profiles, similarity
+from termloom.functions import splitter
+from termloom.operators import compare, graph, profiles, search, similarity
 from termloom.sources import obo, sinks, tables
 from termloom.storage import ranked
 from tests.plans import executed
@@ -103,3 +107,36 @@ def test_leaves_are_not_joined_with_edges_again(spark):
     rows, steps = executed(similarity.micas(pairs, graph.reflexive(c, term), term.selectExpr("term_id", "1.0D as ic_resnik")))
     assert [(r.mica, r.mica_ic) for r in rows] == [("s", 1.0)]
     assert sum(n for name, n in steps if "Join" in name) < 100  # the closure is cut to the terms of the pairs first
+
+
+def test_vectors_are_those_of_the_plain_sum():
+    import hashlib
+
+    texts = ["Some words, some Words", "", None, "ab"]
+    got = search.hashing_embedder(16)()(texts)
+    want = np.zeros((4, 16), np.float32)
+    for row, text in zip(want, texts):
+        t = " ".join((text or "").lower().split())
+        for g in t.split() + [t[k : k + 3] for k in range(len(t) - 2)]:
+            h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
+            row[h % 16] += 1.0 if h >> 63 else -1.0
+    assert (got == want).all()
+
+
+def test_scores_are_held_in_slices(monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 40)
+    b = pd.DataFrame({"id": [str(k) for k in range(25)], "vector": [np.array([1.0, k]) for k in range(25)]})
+    assert [len(x) for x in search._slices(iter([b, b[:0]]), 10)] == [4, 4, 4, 4, 4, 4, 1]
+
+
+def test_greedy_codes_follow_the_order_of_terms():
+    column = pa.chunked_array([["b", "a"], ["c", "a"]])
+    names, codes = compare._codes(column)
+    assert (names, codes.tolist()) == (["a", "b", "c"], [1, 0, 2, 0])
+
+
+def test_sentences_are_split_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(splitter, "SLICE", 3)
+    df = spark.range(10).selectExpr("cast(id as string) as id", "concat('Sentence ', id, ' is long enough. And another one.') as text").coalesce(1)
+    rows = df.withColumn("s", splitter.split_column(df, F.col("text"))).orderBy("id").collect()
+    assert [r.s for r in rows] == [splitter.split_document(r.text) for r in rows]
