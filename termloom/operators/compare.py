@@ -119,10 +119,17 @@ def term_matches(reference: DataFrame, candidates: DataFrame, lin: DataFrame) ->
     return pairs.groupBy("candidate").applyInArrow(_greedy, "candidate string, ref_term string, cand_term string, sim double")
 
 
+def _codes(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """The distinct terms in order and the place of each row's term; no object for each row."""
+    d = pa.chunked_array([column.combine_chunks()]).dictionary_encode().chunk(0)
+    names, order = np.unique(np.array(d.dictionary.to_pylist(), object), return_inverse=True)
+    return names.tolist(), order[d.indices.to_numpy()]
+
+
 def _greedy(pairs: pa.Table) -> pa.Table:
     """The matches of one candidate."""
     # codes in the order of the terms, so that they sort as the terms do
-    names, codes = zip(*(np.unique(pairs.column(k).to_numpy(zero_copy_only=False), return_inverse=True) for k in ("ref_term", "cand_term")))
+    names, codes = zip(*(_codes(pairs.column(k)) for k in ("ref_term", "cand_term")))
     key, i, j = (pairs.column(k).to_numpy() for k in ("key", "ref_pos", "cand_pos"))
     order = np.lexsort((codes[1], codes[0], j, i, key))
     free = [[True] * len(x) for x in names]
