@@ -15,7 +15,11 @@ from termloom.shipping import ship
 from termloom.storage import stored
 
 #: Vectors of the query side that are sent to all executors at once; more go in blocks.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_096
+#: Cells of the matrix of scores that a worker holds at once, eight bytes each.
+CELLS = 1 << 22
+#: Hashes of words and 3-grams that a worker remembers.
+REMEMBERED = 1 << 18
 
 Embedder = Callable[[], Callable[[list[str]], np.ndarray]]
 
@@ -28,13 +32,23 @@ def hashing_embedder(dim: int = 128) -> Embedder:
     """
 
     def make() -> Callable[[list[str]], np.ndarray]:
+        known: dict[str, int] = {}
+
+        def place(g: str) -> int:
+            """The dimension of a word or 3-gram, from ``dim`` on if it counts upwards."""
+            h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[g] = at = h % dim + (dim if h >> 63 else 0)
+            return at
+
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for row, text in zip(out, texts):
                 t = " ".join((text or "").lower().split())
-                for g in t.split() + [t[k : k + 3] for k in range(len(t) - 2)]:
-                    h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
-                    row[h % dim] += 1.0 if h >> 63 else -1.0
+                at = [known[g] if g in known else place(g) for g in t.split() + [t[k : k + 3] for k in range(len(t) - 2)]]
+                n = np.bincount(np.array(at, np.int64), minlength=2 * dim)
+                row[:] = n[dim:] - n[:dim]
             return out
 
         return encode
@@ -96,13 +110,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _slices(batches: Iterator[pd.DataFrame], columns: int) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, as many at once as keep the matrix of scores within CELLS."""
+    step = max(1, CELLS // columns)
+    for b in batches:
+        for k in range(0, len(b), step):
+            yield b.iloc[k : k + step]
+
+
 def _score(shared, k: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         best: pd.DataFrame | None = None
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _slices(batches, len(ids)):
             s = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ q.T
             names = b["id"].astype(str).to_numpy()
             # only what may be among a query's k best, ties included, becomes rows
@@ -146,9 +166,7 @@ def _nearest(shared, k: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         ids = np.array(ids, object)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _slices(batches, len(ids)):
             s = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ q.T
             m = s.shape[1]
             least = np.partition(s, m - k, axis=1)[:, m - k, None] if 0 < k < m else -np.inf
